@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import terms
+from lodestone.llm import near_duplicates, terms
 from lodestone.sources.collection import read_table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of passages with at least 10 runs of three tokens each, of which one shares 0.6 of its runs with the other."""
+    return near_duplicates.duplicate_pairs(read_table(spark, d, "passage_collection"), "doc_id", "passage_text", width=3, share=0.6, min_runs=10)
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each passage with its group and the number of links of its class."""
+    return near_duplicates.duplicate_groups(read_table(spark, d, "passage_collection"), "doc_id", "passage_text", width=3, share=0.6, min_runs=10)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     t = terms.distinctive_terms(read_table(spark, d, "block"), read_table(spark, d, "doc_table"), min_tf=3)
     return t.where("df >= 2 and weight >= 0.05D").select("doc_id", "term")
@@ -30,7 +40,7 @@ def p7_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(*(read_table(spark, d, x) for x in ("block", "lexicon", "doc_table")))
 
 
-QUERIES = {"p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
 
 _ENTRIES = """e AS (SELECT term, CAST(split_part(x, ':', 1) AS BIGINT) AS doc_id, CAST(split_part(x, ':', 2) AS BIGINT) AS tf FROM (SELECT term, unnest(string_split(postings, ',')) AS x
   FROM (SELECT DISTINCT block_no, term, piece_no, postings FROM block WHERE block_no IS NOT NULL AND term IS NOT NULL AND piece_no IS NOT NULL AND postings IS NOT NULL))),
