@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import near_duplicates, terms
+from lodestone.llm import near_duplicates, templates, terms
 from lodestone.sources.collection import read_table
 
 
@@ -40,7 +40,16 @@ def p7_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(*(read_table(spark, d, x) for x in ("block", "lexicon", "doc_table")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return templates.template_residue(read_table(spark, d, "documents")).select(F.col("id").alias("doc_id"))
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without template residue."""
+    return templates.without_residue(read_table(spark, d, "documents")).select("doc_id", "lang", "source", "n_chars")
+
+
+QUERIES = {"p10_found": p10_found, "p10_clean": p10_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
 
 _ENTRIES = """e AS (SELECT term, CAST(split_part(x, ':', 1) AS BIGINT) AS doc_id, CAST(split_part(x, ':', 2) AS BIGINT) AS tf FROM (SELECT term, unnest(string_split(postings, ',')) AS x
   FROM (SELECT DISTINCT block_no, term, piece_no, postings FROM block WHERE block_no IS NOT NULL AND term IS NOT NULL AND piece_no IS NOT NULL AND postings IS NOT NULL))),
