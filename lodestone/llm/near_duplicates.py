@@ -2,8 +2,8 @@
 
 1. Passages with the same set of runs form a class; one of them stands for it from here on.
 2. A representative gets min-hashes of its runs. Runs that occur in many passages weigh less; how many is counted over the whole
-   collection in a table of fixed size. Two min-hashes together are a shard key, so unrelated passages hardly ever share one.
-3. In every shard a BK-tree is built on sketches of two bits for each of 32 min-hashes. A child hangs under its parent at the
+   collection in a table of fixed size. Three min-hashes together are a shard key, so unrelated passages hardly ever share one.
+3. In every shard a BK-tree is built on sketches of two bits for each of 20 min-hashes. A child hangs under its parent at the
    integer Hamming distance of their sketches; a search follows only the edges within the radius around its own distance.
    The neighbours found are candidates.
 4. Candidates are compared by their whole sets of runs, and pairs of representatives are carried over to the members of their classes.
@@ -26,9 +26,10 @@ from lodestone.llm.shingles import mix, run_sets
 from lodestone.operators.storage import cut
 
 CELLS = 1 << 20  # of the table that counts runs
-COMMON_SHARE = 2e-4  # runs in more than this share of passages weigh less
-BANDS, ROWS = 20, 2
-RADIUS = 22  # of 32 symbols; unrelated sketches differ in 24 on average, those of half-equal sets in 14
+COMMON_SHARE = 1e-3  # runs in more than this share of passages weigh less
+BANDS, ROWS = 28, 3
+SYMBOLS, RADIUS = 20, 14  # unrelated sketches differ in 15 symbols on average, those of half-equal sets in 7 or 8
+SKETCH = (1 << (2 * SYMBOLS)) - 1
 SHARD = 2048  # passages under one key beyond which its tree is split
 BLOOM_BITS = 1 << 23
 _SALTS = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -36,10 +37,6 @@ _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, size=(BANDS * ROWS,
 _PAIRS = 0x5555555555555555
 
 
-def _batches(df: DataFrame, run, schema: str) -> DataFrame:
-    return df.mapInArrow(run, schema)
-
-
 def _sets(batch: pa.RecordBatch, width: int, min_runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(doc_ids, first, count, runs)`` of a batch (doc_id, text): the rows with at least min_runs distinct runs."""
     row, runs = run_sets(batch.column(1), width)
@@ -86,59 +83,84 @@ def run_counts(texts: DataFrame, width: int, min_runs: int) -> tuple[np.ndarray,
     return table, docs
 
 
-def signatures(texts: DataFrame, width: int, min_runs: int, dampen: np.ndarray) -> DataFrame:
-    """``(doc_id, cls, sig)``: a hash of the set of runs and the weighted min-hashes, 32 bits each.
+def _first_of_class(cls: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Places of the first passage of every class that this task has not met; ``seen`` grows with the task's part only."""
+    _, first = np.unique(cls, return_index=True)
+    first.sort()
+    fresh = [i for i, c in zip(first.tolist(), cls[first].tolist(), strict=True) if c not in seen]
+    seen.update(cls[fresh].tolist())
+    return np.array(fresh, dtype=np.int64)
+
+
+def _own_runs(first: np.ndarray, count: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(runs, first)`` of the kept rows alone."""
+    owned = np.zeros(len(runs) + 1, dtype=np.int32)
+    np.add.at(owned, first, 1)
+    np.add.at(owned, first + count, -1)
+    return runs[np.cumsum(owned[:-1]) > 0], np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)
+
+
+def _minima(used: np.ndarray, at: np.ndarray, factor: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` weighted min-hashes of each row, 32 bits each."""
+    h = mix(used)
+    slow = factor[(used & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
+    sig = np.empty((n, len(at)), dtype=np.uint64)
+    for k in range(n):
+        u = (h * _SEEDS[k, 0] + _SEEDS[k, 1]) >> np.uint64(32)
+        u += np.uint64(1)
+        u *= slow
+        sig[k] = mix(np.minimum.reduceat(u, at)) >> np.uint64(32)
+    return sig
+
+
+def _classes(used: np.ndarray, at: np.ndarray, count: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """The class of each row: its sketch in the low 40 bits, a hash of its set of runs in the others.
 
-    ``dampen`` has the factor by which a run of each cell weighs less.
+    Two sets fall together only if their sketches and 24 more bits agree.
     """
+    cls = (mix(np.add.reduceat(mix(used), at) ^ count.astype(np.uint64)) >> np.uint64(2 * SYMBOLS)) << np.uint64(2 * SYMBOLS)
+    for k in range(SYMBOLS):
+        cls |= (sig[k] & np.uint64(3)) << np.uint64(2 * k)
+    return cls.view(np.int64)
+
+
+def _each(texts: DataFrame, width: int, min_runs: int, dampen: np.ndarray, hashes: int, emit, schema: str) -> DataFrame:
+    """``emit(doc_ids, cls, sig, used, at, count)`` on every batch; ``dampen`` has the factor by which runs of a cell weigh less."""
     cells = texts.sparkSession.sparkContext.broadcast(dampen)  # CELLS numbers of two bytes, whatever the collection
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor = cells.value
+        seen: set[int] = set()
         for b in it:
             ids, first, count, runs = _sets(b, width, min_runs)
-            if not len(ids):
-                continue
-            owned = np.zeros(len(runs) + 1, dtype=np.int32)
-            np.add.at(owned, first, 1)
-            np.add.at(owned, first + count, -1)
-            used = runs[np.cumsum(owned[:-1]) > 0]
-            at = np.concatenate(([0], np.cumsum(count)[:-1]))
-            h = mix(used)
-            cls = mix(np.add.reduceat(h, at) ^ count.astype(np.uint64))
-            slow = factor[(used & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
-            sig = np.empty((len(ids), BANDS * ROWS), dtype=np.uint32)
-            for k in range(BANDS * ROWS):
-                u = (h * _SEEDS[k, 0] + _SEEDS[k, 1]) >> np.uint64(32)
-                m = np.minimum.reduceat((u + np.uint64(1)) * slow, at)
-                sig[:, k] = mix(m) >> np.uint64(32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(cls.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, sig.nbytes + 1, sig.shape[1] * 4, dtype=np.int32).tobytes()), pa.py_buffer(sig.tobytes())])],
-                names=["doc_id", "cls", "sig"],
-            )
-
-    return texts.mapInArrow(run, "doc_id bigint, cls bigint, sig binary")
-
-
-def band_keys(reps: DataFrame) -> DataFrame:
-    """``(key, sketch, doc_id)``: a row for each band of each representative."""
+            if len(ids):
+                used, at = _own_runs(first, count, runs)
+                sig = _minima(used, at, cells.value, hashes)
+                yield pa.RecordBatch.from_arrays(emit(ids, _classes(used, at, count, sig), sig, used, at, count, seen), names=names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def memberships(texts: DataFrame, width: int, min_runs: int, dampen: np.ndarray) -> DataFrame:
+    """``(doc_id, cls)``: the class of every passage, which stands for its set of runs."""
+    emit = lambda ids, cls, *_: [pa.array(ids, pa.int64()), pa.array(cls)]
+    return _each(texts, width, min_runs, dampen, SYMBOLS, emit, "doc_id bigint, cls bigint")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            n = b.num_rows
-            if not n:
-                continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(n, BANDS * ROWS)
-            sketch = np.zeros(n, dtype=np.uint64)
-            for k in range(32):
-                sketch |= (sig[:, k].astype(np.uint64) & np.uint64(3)) << np.uint64(2 * k)
-            keys = np.empty((BANDS, n), dtype=np.uint64)
-            for j in range(BANDS):
-                keys[j] = mix((sig[:, 2 * j].astype(np.uint64) << np.uint64(32) | sig[:, 2 * j + 1]) + _SALTS[j : j + 1])
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(sketch.view(np.int64), BANDS)), pa.array(np.tile(ids, BANDS))], names=["key", "sketch", "doc_id"])
-
-    return reps.select("doc_id", "sig").mapInArrow(run, "key bigint, sketch bigint, doc_id bigint")
+
+def band_keys(texts: DataFrame, width: int, min_runs: int, dampen: np.ndarray) -> DataFrame:
+    """``(key, cls)``: a row for each band of the min-hashes of each class. A task sends a class once, so copies are combined before the shuffle."""
+
+    def emit(ids, cls, sig, used, at, count, seen):
+        fresh = _first_of_class(cls, seen)
+        keys = np.empty((BANDS, len(fresh)), dtype=np.uint64)
+        for j in range(BANDS):
+            x = _SALTS[j : j + 1]
+            for r in range(ROWS):
+                x = mix(x + sig[ROWS * j + r, fresh])
+            keys[j] = x
+        return [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(cls[fresh], BANDS))]
+
+    return _each(texts, width, min_runs, dampen, BANDS * ROWS, emit, "key bigint, cls bigint")
 
 
 def distance(a: int, b: int) -> int:
@@ -179,99 +201,83 @@ class BKTree:
                     stack.append(child)
 
 
-def tree_pairs(sketches: list[int], ids: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Pairs (smaller id, larger id) of a shard whose sketches are within the radius."""
+def tree_pairs(classes: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
+    """Pairs (smaller, larger) of the classes of a shard whose sketches are within the radius."""
     tree = BKTree()
-    for s, i in zip(sketches, ids, strict=True):
-        for j in tree.within(s, radius):
-            yield (i, j) if i < j else (j, i)
-        tree.add(s, i)
+    for c in classes:
+        for other in tree.within(c & SKETCH, radius):
+            yield (c, other) if c < other else (other, c)
+        tree.add(c & SKETCH, c)
 
 
 def candidates(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)``, a < b, of representatives that share a shard and lie within the radius.
+    """Distinct candidate pairs ``(a, b)``, a < b, of classes that share a shard and lie within the radius.
 
-    Rows of a key stand together in a partition sorted by key; its tree is built there, unless the key holds more than SHARD
-    passages: these come out as they are, are dealt to sub-shards of that size, and every pair of sub-shards is a task of its own.
+    Rows of a key stand together in a partition sorted by key and class; its tree is built there, unless the key holds more than
+    SHARD rows: these come out as they are, are dealt to sub-shards of that size, and every pair of sub-shards is a task of its own.
     """
-    u64 = lambda a: a.view(np.uint64).tolist()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = (np.zeros(0, np.int64),) * 3
-        large = None  # key of a group that is being passed on
-
-        def out(a: list, b: list, hot: tuple | None = None) -> pa.RecordBatch:
-            n, h = len(a), hot or rest_empty
-            key = np.concatenate((np.zeros(n, np.int64), h[0]))
-            cols = [pa.array(np.concatenate((np.array(a, np.int64), h[2]))), pa.array(np.concatenate((np.array(b, np.int64), h[1]))), pa.array(key), pa.array(np.concatenate((np.zeros(n, bool), np.ones(len(h[0]), bool))))]
-            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "hot"])
+        empty = np.zeros(0, np.int64)
+        rest, large = (empty, empty), None  # the last group so far; the key of a group that is being passed on
 
-        rest_empty = (np.zeros(0, np.int64),) * 3
+        def out(a: list[int], b: list[int], key: np.ndarray = empty, cls: np.ndarray = empty) -> pa.RecordBatch:
+            cols = [np.concatenate((np.array(a, np.int64), cls)), np.concatenate((np.array(b, np.int64), key)), np.concatenate((np.zeros(len(a), bool), np.ones(len(key), bool)))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "hot"])
 
-        def work(cols: tuple, final: bool) -> Iterator[pa.RecordBatch]:
+        def work(key: np.ndarray, cls: np.ndarray, final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal rest, large
-            cols = tuple(np.concatenate((r, c)) for r, c in zip(rest, cols, strict=True))
-            key, sk, ids = cols
+            key, cls = np.concatenate((rest[0], key)), np.concatenate((rest[1], cls))
             if not len(key):
                 return
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             last = len(cuts) - 1 if final else len(cuts) - 2
-            left, right = [], []
-            for g in np.flatnonzero(np.diff(cuts[: last + 1]) > 1):
+            left: list[int] = []
+            right: list[int] = []
+            sizes = np.diff(cuts[: last + 1])
+            for g in np.flatnonzero((sizes > 1) | (key[cuts[:last]] == large if large is not None else False)):
                 lo, hi = cuts[g], cuts[g + 1]
                 if hi - lo > SHARD or key[lo] == large:
-                    yield out([], [], (key[lo:hi], sk[lo:hi], ids[lo:hi]))
+                    yield out([], [], key[lo:hi], cls[lo:hi])
                     continue
-                for p, q in tree_pairs(u64(sk[lo:hi]), ids[lo:hi].tolist(), radius):
+                for p, q in tree_pairs(np.unique(cls[lo:hi]).tolist(), radius):
                     left.append(p)
                     right.append(q)
-            for g in np.flatnonzero(np.diff(cuts[: last + 1]) == 1):  # a last row of a group that was passed on
-                if key[cuts[g]] == large:
-                    yield out([], [], tuple(c[cuts[g] : cuts[g] + 1] for c in cols))
             if left:
                 yield out(left, right)
-            if final:
-                rest = rest_empty
-                return
             lo = cuts[last]
-            if len(key) - lo > SHARD or key[lo] == large:
+            if not final and (len(key) - lo > SHARD or key[lo] == large):
                 large = key[lo]
-                yield out([], [], (key[lo:], sk[lo:], ids[lo:]))
-                rest = rest_empty
-            else:
-                rest = tuple(c[lo:] for c in cols)
+                yield out([], [], key[lo:], cls[lo:])
+                lo = len(key)
+            rest = (key[lo:], cls[lo:])
 
         for b in it:
-            yield from work(tuple(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)), False)
-        yield from work(rest_empty, True)
-
-    ordered = keys.repartition("key").sortWithinPartitions("key")
-    found = cut(ordered.mapInArrow(run, "a bigint, b bigint, key bigint, hot boolean"))
-    pairs = found.where("not hot").select("a", "b").distinct()
-    hot = found.where("hot")
-    sizes = hot.groupBy("key").agg(F.count("*").alias("n"))
+            yield from work(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), False)
+        yield from work(empty, empty, True)
+
+    ordered = keys.repartition("key").sortWithinPartitions("key", "cls")
+    found = cut(ordered.mapInArrow(run, "a bigint, b bigint, hot boolean"))
+    pairs = found.where("not hot").select("a", "b")
+    hot = found.where("hot").select(F.col("b").alias("key"), F.col("a").alias("cls")).distinct()
     parts = F.ceil(F.col("n") / SHARD).cast("int")
-    dealt = hot.join(sizes, "key").select("key", F.col("a").alias("doc_id"), F.col("b").alias("sketch"), parts.alias("s"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("i"))
+    dealt = hot.join(hot.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "cls", parts.alias("s"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("i"))
     lower = F.transform(F.sequence(F.lit(0), F.col("i")), lambda j: F.struct(j.alias("p"), F.col("i").alias("q")))
     higher = F.transform(F.sequence(F.col("i"), F.col("s") - 1), lambda j: F.struct(F.col("i").alias("p"), j.alias("q")))
-    tasks = dealt.select("key", "doc_id", "sketch", "i", F.explode(F.array_distinct(F.concat(lower, higher))).alias("t"))
+    tasks = dealt.select("key", "cls", "i", F.explode(F.array_distinct(F.concat(lower, higher))).alias("t")).select("key", "cls", "i", "t.p", "t.q")
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        sk = [int(x) & (2**64 - 1) for x in pdf["sketch"]]
         if p == q:
-            rows = list(tree_pairs(sk, pdf["doc_id"].tolist(), radius))
+            rows = list(tree_pairs(pdf["cls"].tolist(), radius))
         else:
-            tree, rows = BKTree(), []
-            for s, i, side in zip(sk, pdf["doc_id"], pdf["i"], strict=True):
-                if side == p:
-                    tree.add(s, i)
-            for s, i, side in zip(sk, pdf["doc_id"], pdf["i"], strict=True):
-                if side == q:
-                    rows += [(min(i, j), max(i, j)) for j in tree.within(s, radius)]
+            tree = BKTree()
+            for c in pdf.loc[pdf["i"] == p, "cls"].tolist():
+                tree.add(c & SKETCH, c)
+            rows = [(min(c, o), max(c, o)) for c in pdf.loc[pdf["i"] == q, "cls"].tolist() for o in tree.within(c & SKETCH, radius)]
         return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
-    far = tasks.select("key", "doc_id", "sketch", "i", "t.p", "t.q").groupBy("key", "p", "q").applyInPandas(cross, "a bigint, b bigint")
+    far = tasks.groupBy("key", "p", "q").applyInPandas(cross, "a bigint, b bigint")
     return pairs.unionByName(far).distinct()
 
 
@@ -293,30 +299,28 @@ def bloom(ids: DataFrame) -> np.ndarray:
     total = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
     for r in ids.coalesce(8).mapInArrow(run, "data binary").toLocalIterator():  # eight times 1 MB
         total |= np.frombuffer(zlib.decompress(r["data"]), dtype=np.uint8)
-    return np.unpackbits(total).astype(bool)
+    return total
 
 
-def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int) -> DataFrame:
-    """``(doc_id, runs)`` of the passages that may be in the Bloom filter: their sorted runs, eight bytes each."""
-    packed = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted))  # BLOOM_BITS bits
+def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int, dampen: np.ndarray) -> DataFrame:
+    """``(cls, runs)`` of the classes that may be in the Bloom filter: their sorted runs, eight bytes each; a task sends a class once."""
+    packed = texts.sparkSession.sparkContext.broadcast(wanted)  # BLOOM_BITS bits
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed.value).astype(bool)
-        for b in it:
-            hit = np.ones(b.num_rows, dtype=bool)
-            for p in _positions(b.column(0).to_numpy(zero_copy_only=False)):
-                hit &= bits[p]
-            b = b.filter(pa.array(hit))
-            ids, first, count, runs = _sets(b, width, min_runs)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([runs[f : f + c].tobytes() for f, c in zip(first, count, strict=True)], pa.binary())], names=["doc_id", "runs"])
+    def emit(ids, cls, sig, used, at, count, seen):
+        hit = np.ones(len(cls), dtype=bool)
+        for p in _positions(cls):
+            hit &= (packed.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+        take = np.flatnonzero(hit)
+        take = take[_first_of_class(cls[take], seen)] if len(take) else take
+        return [pa.array(cls[take]), pa.array([used[at[i] : at[i] + count[i]].tobytes() for i in take.tolist()], pa.binary())]
 
-    return texts.mapInArrow(run, "doc_id bigint, runs binary")
+    return _each(texts, width, min_runs, dampen, SYMBOLS, emit, "cls bigint, runs binary").dropDuplicates(["cls"])
 
 
 def verified(pairs: DataFrame, runs: DataFrame, share: float) -> DataFrame:
     """The pairs ``(a, b)`` whose common runs are at least ``share`` of the runs of either."""
-    sided = pairs.join(runs.select(F.col("doc_id").alias("b"), F.col("runs").alias("rb")), "b")
-    both = sided.join(runs.select(F.col("doc_id").alias("a"), F.col("runs").alias("ra")), "a").select("a", "b", "ra", "rb")
+    sided = pairs.join(runs.select(F.col("cls").alias("b"), F.col("runs").alias("rb")), "b")
+    both = sided.join(runs.select(F.col("cls").alias("a"), F.col("runs").alias("ra")), "a").select("a", "b", "ra", "rb")
     per = round(share * 1000)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,37 +341,32 @@ def prepared(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def class_pairs(table: DataFrame, id_col: str, text_col: str, width: int = 5, share: float = 0.8, min_runs: int = 1) -> tuple[DataFrame, DataFrame]:
-    """``(members, links)``: members (doc_id, rep) of the classes with equal sets of runs, links (a, b) between representatives.
+    """``(members, links)``: members (doc_id, cls) of the classes with equal sets of runs, links (a, b) between classes.
 
-    A link joins two classes whose common runs are at least ``share`` of the runs of the smaller or larger set, thus of either.
-    Passages with fewer than ``min_runs`` distinct runs, null or blank ones among them, are in no class. Null ids are dropped and repeated rows
-    with one id and text are one passage. Other columns are ignored; an empty table gives empty results.
+    A link joins two classes whose common runs are at least ``share`` of the runs of either. Passages with fewer than
+    ``min_runs`` distinct runs, null or blank ones among them, are in no class. Null ids are dropped; several rows of one id
+    are as many passages, which are never paired with each other. Other columns are ignored; an empty table gives empty results.
     """
     texts = prepared(table, id_col, text_col)
     counts, n = run_counts(texts, width, min_runs)
-    limit = max(2.0, COMMON_SHARE * n)
-    dampen = np.clip(np.round(counts / limit), 1, 60000).astype(np.uint16)
-    sig = signatures(texts, width, min_runs, dampen)
-    classes = sig.groupBy("cls").agg(F.min(F.struct("doc_id", "sig")).alias("r"), F.count("*").alias("n"))
-    reps = classes.select("r.doc_id", "r.sig")
-    pairs = cut(candidates(band_keys(reps)))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    links = cut(verified(pairs, runs_of(texts, bloom(ends), width, min_runs).dropDuplicates(["doc_id"]), share))
-    owner = classes.where("n > 1").select("cls", F.col("r.doc_id").alias("rep"))
-    several = sig.select("doc_id", "cls").distinct().join(owner, "cls").select("doc_id", "rep")
-    return several, links
+    dampen = np.clip(np.round(counts / max(2.0, COMMON_SHARE * n)), 1, 60000).astype(np.uint16)
+    pairs = cut(candidates(band_keys(texts, width, min_runs, dampen)))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    links = cut(verified(pairs, runs_of(texts, bloom(ends), width, min_runs, dampen), share))
+    return memberships(texts, width, min_runs, dampen), links
 
 
 def duplicate_pairs(table: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, min_runs: int = 1) -> DataFrame:
-    """``(doc_id_a, doc_id_b)``: every pair found, of different passages, expanded to all members of the classes."""
-    several, links = class_pairs(table, id_col, text_col, width, share, min_runs)
-    several = cut(several)
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    alone = ends.join(several.select("rep").distinct(), "rep", "left_anti").select(F.col("rep").alias("doc_id"), "rep")
-    members = several.unionByName(alone)
-    left = links.join(members.select(F.col("doc_id").alias("x"), F.col("rep").alias("a")), "a")
-    between = left.join(members.select(F.col("doc_id").alias("y"), F.col("rep").alias("b")), "b").select("x", "y")
-    within = several.select(F.col("doc_id").alias("x"), "rep").join(several.select(F.col("doc_id").alias("y"), "rep"), "rep").where("x < y").select("x", "y")
+    """``(doc_id_a, doc_id_b)``: every pair found, expanded to all members of the classes, which the result's form demands.
+
+    The members of a class with n passages make n * (n - 1) / 2 pairs; where that is too much, use duplicate_groups.
+    """
+    members, links = class_pairs(table, id_col, text_col, width, share, min_runs)
+    members = cut(members)
+    x = members.select(F.col("doc_id").alias("x"), F.col("cls").alias("a"))
+    y = members.select(F.col("doc_id").alias("y"), F.col("cls").alias("b"))
+    between = links.join(x, "a").join(y, "b").where("x <> y").select("x", "y")
+    within = x.join(y, F.col("a") == F.col("b")).where("x < y").select("x", "y")
     both = between.unionByName(within)
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
@@ -394,12 +393,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(table: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, min_runs: int = 1) -> DataFrame:
-    """``(doc_id, group, n_links)``, a row for each passage: the group it is connected to (its own id if none) and its class's links."""
-    several, links = class_pairs(table, id_col, text_col, width, share, min_runs)
-    several = cut(several)
+    """``(doc_id, group, n_links)``, a row for each passage: the group it is connected to, named by its smallest doc_id, and its class's links.
+
+    A passage with too few runs is a group of its own.
+    """
+    members, links = class_pairs(table, id_col, text_col, width, share, min_runs)
     groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     ids = prepared(table, id_col, text_col).select("doc_id").distinct()
-    placed = ids.join(several, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    out = placed.join(groups.withColumnRenamed("doc_id", "rep"), "rep", "left").join(degree, "rep", "left")
-    return out.select("doc_id", F.coalesce("group", "rep").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = members.join(groups.select(F.col("doc_id").alias("cls"), "group"), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+    names = placed.groupBy("group").agg(F.min("doc_id").alias("name"))
+    out = ids.join(placed.join(names, "group").join(degree, "cls", "left").dropDuplicates(["doc_id"]), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("name", "doc_id").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -35,7 +35,8 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(row, hash)`` of every kept token of a string array, in order; nulls have none."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     # the two other letters whose lower case holds an ASCII letter
-    if b"\xe2\x84\xaa" in (raw := texts.buffers()[2] or b"") or b"\xc4\xb0" in raw:
+    raw = texts.buffers()[2].to_pybytes() if len(texts) and texts.buffers()[2] else b""
+    if b"\xe2\x84\xaa" in raw or b"\xc4\xb0" in raw:
         texts = pc.replace_substring(pc.replace_substring(texts, "K", "k"), "İ", "i̇")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
