@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import encodings, near_duplicates, templates, terms
+from lodestone.llm import encodings, near_duplicates, templates, terms, text_types
 from lodestone.sources.collection import read_table
 
 
+def _types(spark: SparkSession, d: str) -> DataFrame:
+    return text_types.text_types(*(read_table(spark, d, x) for x in ("passage_collection", "doc_table", "common_words")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _types(spark, d).where("type <> 'prose'").select("doc_id")
+
+
+def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and posterior text types of every passage that is not blank."""
+    return _types(spark, d)
+
+
 def _restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restored(read_table(spark, d, "passage_collection"), read_table(spark, d, "common_words"))
 
@@ -62,7 +75,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return templates.without_residue(read_table(spark, d, "documents")).select("doc_id", "lang", "source", "n_chars")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p10_found": p10_found, "p10_clean": p10_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
+QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p2_restored": p2_restored, "p10_found": p10_found, "p10_clean": p10_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
 
 _ENTRIES = """e AS (SELECT term, CAST(split_part(x, ':', 1) AS BIGINT) AS doc_id, CAST(split_part(x, ':', 2) AS BIGINT) AS tf FROM (SELECT term, unnest(string_split(postings, ',')) AS x
   FROM (SELECT DISTINCT block_no, term, piece_no, postings FROM block WHERE block_no IS NOT NULL AND term IS NOT NULL AND piece_no IS NOT NULL AND postings IS NOT NULL))),
