@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import encodings, near_duplicates, templates, terms, text_types
+from lodestone.llm import encodings, mixing, near_duplicates, packing, templates, terms, text_types
 from lodestone.sources.collection import read_table
 
 
@@ -66,6 +66,26 @@ def p7_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(*(read_table(spark, d, x) for x in ("block", "lexicon", "doc_table")))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of its parts, for each container size."""
+    return packing.containers(read_table(spark, d, "documents"), read_table(spark, d, "container_spec")).withColumnRenamed("item_id", "doc_id")
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers needed and how full they are, for each container size."""
+    return packing.summary(p8_containers(spark, d), read_table(spark, d, "container_spec"))
+
+
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each mix and how often each is used."""
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the sources of each mix, wanted and reached."""
+    return mixing.shares(p9_selection(spark, d), read_table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return templates.template_residue(read_table(spark, d, "documents")).select(F.col("id").alias("doc_id"))
 
@@ -75,7 +95,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return templates.without_residue(read_table(spark, d, "documents")).select("doc_id", "lang", "source", "n_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p2_restored": p2_restored, "p10_found": p10_found, "p10_clean": p10_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
+QUERIES = {"p8_containers": p8_containers, "p8_summary": p8_summary, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p2_restored": p2_restored, "p10_found": p10_found, "p10_clean": p10_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
 
 _ENTRIES = """e AS (SELECT term, CAST(split_part(x, ':', 1) AS BIGINT) AS doc_id, CAST(split_part(x, ':', 2) AS BIGINT) AS tf FROM (SELECT term, unnest(string_split(postings, ',')) AS x
   FROM (SELECT DISTINCT block_no, term, piece_no, postings FROM block WHERE block_no IS NOT NULL AND term IS NOT NULL AND piece_no IS NOT NULL AND postings IS NOT NULL))),
