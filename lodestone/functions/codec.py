@@ -1,7 +1,8 @@
 """Variable-byte and delta coding of posting lists.
 
 Numbers are cut into groups of seven bits, the most significant group first; every byte but the last has its high bit
-set. Encoding is a built-in expression; decoding needs a loop over bytes and runs as an Arrow batch function.
+set. Short lists can be encoded by a built-in expression; whole posting lists go through Arrow batch functions that work on all
+numbers of a batch at once.
 """
 
 from __future__ import annotations
@@ -38,9 +39,27 @@ def varbyte_hex(numbers: Column) -> Column:
     return F.array_join(F.transform(numbers, one), "")
 
 
-def varbyte_encode(numbers: Column) -> Column:
-    """Coded bytes of the array ``numbers``."""
-    return F.unhex(varbyte_hex(numbers))
+def encode_lists(lists: list[np.ndarray]) -> list[bytes]:
+    """Coded bytes of each list, all numbers of the batch at once."""
+    counts = np.array([len(x) for x in lists], dtype=np.int64)
+    numbers = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
+    if (numbers < 0).any():
+        raise ValueError("varbyte: negative number")
+    size = np.ones(len(numbers), dtype=np.int64)
+    for g in range(1, GROUPS):
+        size += numbers >= (1 << (GROUP_BITS * g))
+    ends = np.cumsum(size)
+    place = np.repeat(ends, size) - np.arange(int(ends[-1]) if len(ends) else 0) - 1  # groups that follow in the number
+    data = ((np.repeat(numbers, size) >> (GROUP_BITS * place)) & 127).astype(np.uint8) | np.where(place > 0, 128, 0).astype(np.uint8)
+    stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+    raw = data.tobytes()
+    return [raw[i:j] for i, j in zip(stops[:-1], stops[1:], strict=True)]
+
+
+@F.pandas_udf(T.BinaryType())
+def varbyte_encode(numbers: pd.Series) -> pd.Series:
+    """Coded bytes of the arrays of a bigint array column; null and empty give no bytes."""
+    return pd.Series(encode_lists([np.zeros(0, np.int64) if x is None else x for x in numbers]), index=numbers.index)
 
 
 def decode_bytes(data: bytes | None, count: int | None = None) -> list[int]:
@@ -63,8 +82,13 @@ def varbyte_decode(data: pd.Series) -> pd.Series:
     return data.map(decode_bytes)
 
 
-def delta_decode(gaps: Column) -> Column:
-    """Running sums of an array of gaps: the ascending list that was delta coded."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("last"))
-    step = lambda acc, gap: F.struct(F.concat(acc.out, F.array(acc.last + gap)).alias("out"), (acc.last + gap).alias("last"))
-    return F.aggregate(gaps, start, step, lambda acc: acc.out)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def delta_decode(gaps: pd.Series) -> pd.Series:
+    """Running sums of arrays of gaps: the ascending lists that were delta coded; null gives an empty array."""
+    return gaps.map(lambda x: np.zeros(0, np.int64) if x is None else np.cumsum(np.asarray(x, dtype=np.int64)))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def delta_encode(ids: pd.Series, base: pd.Series) -> pd.Series:
+    """Gaps of ascending lists, the first one from ``base``; null gives an empty array."""
+    return pd.Series([np.zeros(0, np.int64) if x is None or not len(x) else np.diff(np.asarray(x, dtype=np.int64), prepend=np.int64(b)) for x, b in zip(ids, base, strict=True)], index=ids.index)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.codec import varbyte_length
+from lodestone.functions.codec import delta_decode, delta_encode, varbyte_decode, varbyte_encode, varbyte_length
 from lodestone.functions.text import tokens
 from lodestone.sources.collection import explode_postings, read_blocks
 
@@ -66,21 +66,26 @@ def lexicon_layout(post: DataFrame) -> DataFrame:
     return per.withColumn("inside", inside).join(first, "head").select("term", "doc_count", "length", (F.col("first") + F.col("inside")).alias("offset"))
 
 
-def block_stats(passages: DataFrame, max_postings: int = 50_000) -> DataFrame:
-    """``(block_no, n_postings, n_terms)`` if postings were cut into blocks of ``max_postings`` in doc_id order.
+def numbered_postings(passages: DataFrame, max_postings: int) -> DataFrame:
+    """``(block_no, term, doc_id, tf)``: postings cut into blocks of ``max_postings`` in the order of doc_ids.
 
-    Within a passage postings stand in order of first occurrence. The first posting number of each passage is a prefix
-    sum over ranges of doc_ids and then within the range. max_postings below 1 raises ValueError.
+    Within a passage postings stand in order of first occurrence. The number of a passage's first posting is a prefix sum over
+    ranges of doc_ids and then within the range. max_postings below 1 raises ValueError.
     """
     if max_postings < 1:
         raise ValueError("max_postings must be at least 1")
-    distinct = tokenized(passages).select("doc_id", F.array_distinct("tokens").alias("terms"), F.floor(F.col("doc_id") / 4096).alias("span"))
+    distinct = tokenized(passages).select("doc_id", "tokens", F.array_distinct("tokens").alias("terms"), F.floor(F.col("doc_id") / 4096).alias("span"))
     spans = distinct.groupBy("span").agg(F.sum(F.size("terms")).alias("n"))
     first = spans.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("first"))
     inside = F.sum(F.size("terms")).over(Window.partitionBy("span").orderBy("doc_id")) - F.size("terms")
-    numbered = distinct.withColumn("inside", inside).join(first, "span").select((F.col("first") + F.col("inside")).alias("base"), F.posexplode("terms").alias("pos", "term"))
-    seq = numbered.select(F.floor((F.col("base") + F.col("pos")) / max_postings).cast("bigint").alias("block_no"), "term")
-    per_term = seq.groupBy("block_no", "term").agg(F.count("*").alias("n"))
+    each = distinct.withColumn("inside", inside).join(first, "span").select("doc_id", "tokens", (F.col("first") + F.col("inside")).alias("base"), F.posexplode("terms").alias("pos", "term"))
+    tf = F.size(F.filter("tokens", lambda t: t == F.col("term"))).cast("bigint")
+    return each.select(F.floor((F.col("base") + F.col("pos")) / max_postings).cast("bigint").alias("block_no"), "term", "doc_id", tf.alias("tf"))
+
+
+def block_stats(passages: DataFrame, max_postings: int = 50_000) -> DataFrame:
+    """``(block_no, n_postings, n_terms)`` of the blocks of ``numbered_postings``."""
+    per_term = numbered_postings(passages, max_postings).groupBy("block_no", "term").agg(F.count("*").alias("n"))
     return per_term.groupBy("block_no").agg(F.sum("n").alias("n_postings"), F.count("*").alias("n_terms"))
 
 
@@ -106,3 +111,31 @@ def seek(post: DataFrame, term: str, target: int) -> DataFrame:
 def next_doc(post: DataFrame, term: str, current: int) -> DataFrame:
     """The posting ``(doc_id, tf)`` of ``term`` that follows doc_id ``current``."""
     return seek(post, term, current + 1)
+
+
+def packed_postings(post: DataFrame, span: int = 65536) -> DataFrame:
+    """``(term, span_no, doc_count, doc_bytes, tf_bytes)``: lists as variable-byte gaps and frequencies.
+
+    A list is cut at multiples of ``span`` doc_ids, and the first gap of a part counts from there: no task holds more than ``span`` postings
+    of a term, and a reader can skip to the part of a doc_id.
+    """
+    at = F.floor(F.col("doc_id") / span).cast("bigint")
+    cut = post.groupBy("term", at.alias("span_no")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
+    gaps = delta_encode(F.col("p.doc_id"), F.col("span_no") * span)
+    return cut.select("term", "span_no", F.size("p").cast("bigint").alias("doc_count"), varbyte_encode(gaps).alias("doc_bytes"), varbyte_encode(F.col("p.tf")).alias("tf_bytes"))
+
+
+def unpacked_postings(packed: DataFrame, span: int = 65536) -> DataFrame:
+    """``(term, doc_id, tf)`` of packed lists."""
+    ids = F.transform(delta_decode(varbyte_decode(F.col("doc_bytes"))), lambda x: x + F.col("span_no") * span)
+    pairs = packed.select("term", F.explode(F.arrays_zip(ids.alias("doc_id"), varbyte_decode(F.col("tf_bytes")).alias("tf"))).alias("e"))
+    return pairs.select("term", "e.doc_id", "e.tf")
+
+
+def write_blocks(passages: DataFrame, path: str, max_postings: int = 5_000_000) -> None:
+    """Text blocks ``block_no=N`` of lines ``term TAB doc_id:freq,...``, each sorted by term."""
+    entry = F.concat_ws(":", "doc_id", "tf")
+    numbered = numbered_postings(passages, max_postings)
+    lists = numbered.groupBy("block_no", "term").agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("p"))  # a block's part of a list
+    lines = lists.select("block_no", "term", F.concat_ws("\t", "term", F.array_join(F.transform("p", lambda x: x.e), ",")).alias("value"))
+    lines.repartition("block_no").sortWithinPartitions("block_no", "term").select("block_no", "value").write.mode("overwrite").partitionBy("block_no").text(path)

@@ -86,12 +86,16 @@ def varbyte_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Doc_ids of every block row, coded as gaps and decoded again."""
     rows = src.read_blocks(src.read_table(spark, d, "block")).where(F.col("postings").rlike(r"^\d+:\d+(,\d+:\d+)*$"))
     ids = F.transform(F.split("postings", ","), lambda e: F.substring_index(e, ":", 1).cast("bigint"))
-    gaps = F.transform(ids, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(ids, i - 1)))
-    coded = rows.select("block_no", "term", "piece_no", ids.alias("ids"), gaps.alias("gaps")).withColumn("data", codec.varbyte_encode(F.col("gaps")))
+    coded = rows.select("block_no", "term", "piece_no", codec.varbyte_encode(codec.delta_encode(ids, F.lit(0))).alias("data"))
     back = codec.delta_decode(codec.varbyte_decode(F.col("data")))
     return coded.select("block_no", "term", "piece_no", F.octet_length("data").cast("bigint").alias("bytes"), F.array_join(back, ",").alias("doc_ids"))
 
 
+def packed_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The postings after packing into variable-byte lists and unpacking."""
+    return index.unpacked_postings(index.packed_postings(_post(spark, d)))
+
+
 def cursor_next(spark: SparkSession, d: str) -> DataFrame:
     return index.next_doc(_post(spark, d), "valve", 100)
 
@@ -185,6 +189,7 @@ QUERIES: dict[str, Query] = {
     "kway_merge": kway_merge,
     "varbyte_hex": varbyte_hex,
     "varbyte_roundtrip": varbyte_roundtrip,
+    "packed_roundtrip": packed_roundtrip,
     "cursor_next": cursor_next,
     "cursor_seek": cursor_seek,
     "bm25_or_topk": _top("reactor valve pressure", "disjunctive"),
@@ -271,6 +276,7 @@ ORACLE: dict[str, str] = {
   lambda x: length(x) between 2 and 20)) AS BIGINT) AS n FROM documents) WHERE n > 0""",
     "collection_scan": r"""SELECT doc_id, passage_id, t AS text FROM (SELECT doc_id, passage_id, regexp_replace(passage_text, '^[\x{1c}-\x{1f}\x{85}\s\x{0b}\p{Z}]+|[\x{1c}-\x{1f}\x{85}\s\x{0b}\p{Z}]+$', '', 'g') AS t FROM passage_collection) WHERE t <> ''""",
     "postings": f"WITH {_BASE} SELECT term, doc_id, tf FROM post",
+    "packed_roundtrip": f"WITH {_BASE} SELECT term, doc_id, tf FROM post",
     "doc_table": f"WITH {_BASE} SELECT doc_id, passage_id, length FROM docs",
     "lexicon": f"WITH {_BASE} SELECT term, df FROM lex",
     "index_stats": f"""WITH {_BASE} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM lex) AS n_terms, (SELECT count(*) FROM post) AS n_postings,
