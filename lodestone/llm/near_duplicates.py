@@ -395,12 +395,12 @@ def components(links: DataFrame) -> DataFrame:
 def duplicate_groups(table: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, min_runs: int = 1) -> DataFrame:
     """``(doc_id, group, n_links)``, a row for each passage: the group it is connected to, named by its smallest doc_id, and its class's links.
 
-    A passage with too few runs is a group of its own.
+    A passage with too few runs, or without text, is a group of its own.
     """
     members, links = class_pairs(table, id_col, text_col, width, share, min_runs)
     groups = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    ids = prepared(table, id_col, text_col).select("doc_id").distinct()
+    ids = table.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     placed = members.join(groups.select(F.col("doc_id").alias("cls"), "group"), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
     names = placed.groupBy("group").agg(F.min("doc_id").alias("name"))
     out = ids.join(placed.join(names, "group").join(degree, "cls", "left").dropDuplicates(["doc_id"]), "doc_id", "left")
