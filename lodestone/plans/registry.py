@@ -152,10 +152,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_term_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Totals and exact frequency quantiles (median, 0.9, 0.99) of every term."""
+    """Totals and exact frequency quantiles (median, 0.9, 0.99) of every term; 0 for terms without postings."""
     t = skew.term_totals(src.read_table(spark, d, "block"))
-    q = lambda i: F.get("tf_quantiles", F.lit(i))
-    return t.select("term", "n_rows", "n_postings", "sum_tf", q(0).alias("tf_50"), q(1).alias("tf_90"), q(2).alias("tf_99"))
+    q = lambda i: F.coalesce(F.get("tf_quantiles", F.lit(i)), F.lit(0))
+    return t.where("term is not null").select("term", "n_rows", "n_postings", "sum_tf", q(0).alias("tf_50"), q(1).alias("tf_90"), q(2).alias("tf_99"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -316,7 +316,7 @@ SELECT block_no, count(*) AS n_postings, count(DISTINCT term) AS n_terms FROM s
     "p4_found": "SELECT term FROM block WHERE term IS NOT NULL GROUP BY term HAVING count(*) * 100 >= 2 * (SELECT count(*) FROM block)",
     "p4_term_totals": f"""WITH {_ENTRIES}, r AS (SELECT term, count(*) AS n_rows FROM block GROUP BY term),
 q AS (SELECT term, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS sum_tf, quantile_disc(tf, 0.5) AS tf_50, quantile_disc(tf, 0.9) AS tf_90, quantile_disc(tf, 0.99) AS tf_99 FROM e GROUP BY term)
-SELECT r.term, n_rows, coalesce(n_postings, 0) AS n_postings, coalesce(sum_tf, 0) AS sum_tf, tf_50, tf_90, tf_99 FROM r LEFT JOIN q ON r.term = q.term""",
+SELECT r.term, n_rows, coalesce(n_postings, 0) AS n_postings, coalesce(sum_tf, 0) AS sum_tf, coalesce(tf_50, 0) AS tf_50, coalesce(tf_90, 0) AS tf_90, coalesce(tf_99, 0) AS tf_99 FROM r LEFT JOIN q USING (term) WHERE term IS NOT NULL""",
     "p5_found": f"WITH {_RAW} SELECT line_no FROM judged WHERE ok IS NOT TRUE",
     "p5_loaded": f"WITH {_RAW} SELECT line_no, CAST(pid AS BIGINT) AS passage_id, txt AS passage_text FROM judged WHERE ok",
 }
