@@ -6,7 +6,9 @@
 3. In every shard a BK-tree is built on sketches of two bits for each of 20 min-hashes. A child hangs under its parent at the
    integer Hamming distance of their sketches; a search follows only the edges within the radius around its own distance.
    The neighbours found are candidates.
-4. Candidates are compared by their whole sets of runs, and pairs of representatives are carried over to the members of their classes.
+4. Candidates are compared by their whole sets of runs. Then the links found are followed once more: a class's neighbours' neighbours are
+   compared with it too, which finds most pairs whose sketches or keys differ by chance.
+5. Pairs of classes are carried over to their members.
 
 Shard trees are routed by key and never broadcast: all trees together grow with the collection.
 """
@@ -27,7 +29,7 @@ from lodestone.operators.storage import cut
 
 CELLS = 1 << 20  # of the table that counts runs
 COMMON_SHARE = 1e-3  # runs in more than this share of passages weigh less
-BANDS, ROWS = 28, 3
+BANDS, ROWS = 24, 3
 SYMBOLS, RADIUS = 20, 14  # unrelated sketches differ in 15 symbols on average, those of half-equal sets in 7 or 8
 SKETCH = (1 << (2 * SYMBOLS)) - 1
 SHARD = 2048  # passages under one key beyond which its tree is split
@@ -302,8 +304,30 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return total
 
 
+def _pack_runs(runs: np.ndarray) -> bytes:
+    return np.ascontiguousarray(runs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack_runs(data: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = data.reshape(-1, 6)
+    return wide.reshape(-1).view("<u8")
+
+
+def second_neighbours(links: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, that are no links, of a class and the neighbours of its smallest and of its largest neighbour.
+
+    That is about as many as there are links in a group in which all are linked, however large the group is.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    via = ends.select(F.col("a").alias("u"), F.explode(F.array_distinct(F.array("low", "high"))).alias("x"))
+    far = via.join(both, via["x"] == both["a"]).where("u <> b").select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct()
+    return far.join(links, ["a", "b"], "left_anti")
+
+
 def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int, dampen: np.ndarray) -> DataFrame:
-    """``(cls, runs)`` of the classes that may be in the Bloom filter: their sorted runs, eight bytes each; a task sends a class once."""
+    """``(cls, runs)`` of the classes that may be in the Bloom filter: their sorted runs, six bytes each; a task sends a class once."""
     packed = texts.sparkSession.sparkContext.broadcast(wanted)  # BLOOM_BITS bits
 
     def emit(ids, cls, sig, used, at, count, seen):
@@ -312,7 +336,7 @@ def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int, dam
             hit &= (packed.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
         take = np.flatnonzero(hit)
         take = take[_first_of_class(cls[take], seen)] if len(take) else take
-        return [pa.array(cls[take]), pa.array([used[at[i] : at[i] + count[i]].tobytes() for i in take.tolist()], pa.binary())]
+        return [pa.array(cls[take]), pa.array([_pack_runs(used[at[i] : at[i] + count[i]]) for i in take.tolist()], pa.binary())]
 
     return _each(texts, width, min_runs, dampen, SYMBOLS, emit, "cls bigint, runs binary").dropDuplicates(["cls"])
 
@@ -327,7 +351,7 @@ def verified(pairs: DataFrame, runs: DataFrame, share: float) -> DataFrame:
         for batch in it:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                p, q = (_unpack_runs(np.frombuffer(v.as_buffer(), dtype=np.uint8)) for v in (x, y))
                 z = np.concatenate((p, q))
                 z.sort()
                 keep.append(int(np.count_nonzero(z[1:] == z[:-1])) * 1000 >= per * min(len(p), len(q)))
@@ -352,7 +376,11 @@ def class_pairs(table: DataFrame, id_col: str, text_col: str, width: int = 5, sh
     dampen = np.clip(np.round(counts / max(2.0, COMMON_SHARE * n)), 1, 60000).astype(np.uint16)
     pairs = cut(candidates(band_keys(texts, width, min_runs, dampen)))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    links = cut(verified(pairs, runs_of(texts, bloom(ends), width, min_runs, dampen), share))
+    runs = cut(runs_of(texts, bloom(ends), width, min_runs, dampen))
+    near = cut(verified(pairs, runs, share))
+    more = cut(second_neighbours(near))
+    touched = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    links = cut(near.unionByName(verified(more, runs.join(touched, "cls", "left_semi"), share)))
     return memberships(texts, width, min_runs, dampen), links
 
 
