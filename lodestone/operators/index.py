@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.codec import delta_decode, delta_encode, varbyte_decode, varbyte_encode, varbyte_length
 from lodestone.functions.text import tokens
+from lodestone.operators.prefix import before
 from lodestone.sources.collection import explode_postings, read_blocks
 
 
@@ -69,16 +70,13 @@ def lexicon_layout(post: DataFrame) -> DataFrame:
 def numbered_postings(passages: DataFrame, max_postings: int) -> DataFrame:
     """``(block_no, term, doc_id, tf)``: postings cut into blocks of ``max_postings`` in the order of doc_ids.
 
-    Within a passage postings stand in order of first occurrence. The number of a passage's first posting is a prefix sum over
-    ranges of doc_ids and then within the range. max_postings below 1 raises ValueError.
+    Within a passage postings stand in order of first occurrence. The number of a passage's first posting is a running sum in levels
+    of doc_ids. max_postings below 1 raises ValueError.
     """
     if max_postings < 1:
         raise ValueError("max_postings must be at least 1")
-    distinct = tokenized(passages).select("doc_id", "tokens", F.array_distinct("tokens").alias("terms"), F.floor(F.col("doc_id") / 4096).alias("span"))
-    spans = distinct.groupBy("span").agg(F.sum(F.size("terms")).alias("n"))
-    first = spans.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("first"))
-    inside = F.sum(F.size("terms")).over(Window.partitionBy("span").orderBy("doc_id")) - F.size("terms")
-    each = distinct.withColumn("inside", inside).join(first, "span").select("doc_id", "tokens", (F.col("first") + F.col("inside")).alias("base"), F.posexplode("terms").alias("pos", "term"))
+    distinct = tokenized(passages).select("doc_id", "tokens", F.array_distinct("tokens").alias("terms")).withColumn("n_terms", F.size("terms"))
+    each = before(distinct, "doc_id", "n_terms", "base").select("doc_id", "tokens", "base", F.posexplode("terms").alias("pos", "term"))
     tf = F.size(F.filter("tokens", lambda t: t == F.col("term"))).cast("bigint")
     return each.select(F.floor((F.col("base") + F.col("pos")) / max_postings).cast("bigint").alias("block_no"), "term", "doc_id", tf.alias("tf"))
 

@@ -35,6 +35,19 @@ def skew_join(rows: DataFrame, per_key: DataFrame, key: str, heavy: list, how: s
     return a.unionByName(b)
 
 
+def salted_join(rows: DataFrame, per_key: DataFrame, key: str, heavy: list, spread: str, parts: int = 32) -> DataFrame:
+    """The inner join on ``key`` where per_key can hold many rows of a heavy key, too many to broadcast.
+
+    Rows of a heavy key are dealt to ``parts`` tasks by a hash of the column ``spread``, and per_key's rows of it are sent to each.
+    """
+    if not heavy:
+        return rows.join(per_key, key)
+    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    dealt = rows.withColumn("_salt", F.when(is_heavy, F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0))
+    copied = per_key.withColumn("_salt", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def key_quantiles(values: DataFrame, key: str, value: str, probs: list[float], weight: str | None = None, digit_bits: int = 8) -> DataFrame:
     """``(key, prob, quantile)``: exact discrete quantiles of an integer column for every key.
 

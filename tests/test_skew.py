@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from lodestone.operators import skew
+from lodestone.operators.prefix import before
 
 
 def exact(values, p):
@@ -51,3 +52,20 @@ def test_term_totals(spark):
     assert got == {"a": (3, 3, 7, [2, 4]), "b": (1, 0, 0, None), None: (1, 0, 0, None), "c": (1, 0, 0, None), "d": (1, 0, 0, None)}
     assert {r["term"] for r in skew.hot_terms(df, 20).collect()} == {"a"}
     assert skew.term_totals(df.where("false")).count() == 0 and skew.hot_terms(df.where("false")).count() == 0
+
+
+def test_salted_join_is_a_join(spark):
+    a = spark.createDataFrame([("h", i) for i in range(50)] + [("x", 1), ("y", 2), (None, 3)], "k string, v int")
+    b = spark.createDataFrame([("h", i) for i in range(9)] + [("x", 20), ("z", 30), (None, 1)], "k string, w int")
+    assert rows(skew.salted_join(a, b, "k", ["h"], "v")) == rows(a.join(b, "k")) == rows(skew.salted_join(a, b, "k", [], "v"))
+
+
+def test_running_sums(spark):
+    data = [(i * i * 3001 % 40_000_003, i % 7) for i in range(900)]
+    data = list({k: (k, v) for k, v in data}.values())
+    got = rows(before(spark.createDataFrame(data, "id bigint, n bigint"), "id", "n", "first").select("id", "first"))
+    total, want = 0, []
+    for k, v in sorted(data):
+        want.append((k, total))
+        total += v
+    assert got == want
