@@ -18,7 +18,8 @@ from lodestone.operators.skew import key_quantiles
 from lodestone.operators.storage import cut
 
 MAX_SOURCES = 16  # of one mix: its sets of sources number at most 2**16
-HASH_BITS = 40
+HASH_BITS = 42
+SEP = "\x1f"
 
 
 @dataclass
@@ -139,44 +140,44 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
         wanted.setdefault(r["mix_id"], {})[r["source"]] = (r["target_share"], r["max_repeats"] or 1)
     if any(len(t) > MAX_SOURCES for t in wanted.values()):
         raise ValueError(f"a mix may have {MAX_SOURCES} sources")
+    spark = docs.sparkSession
+    out = "mix_id int, doc_id bigint, source string, uses bigint, n_tokens bigint"
+    if not wanted:
+        return spark.createDataFrame([], out)
     texts = cut(texts_by_sources(docs, id_col, text_col, source_col, path, seed))
-    spark, parts = docs.sparkSession, []
-    schema = "mix_id int, set string, source string, use int, low bigint, high bigint"
+    # the sources that matter to each mix; a text's row is repeated for each mix that has one of them
+    inside = lambda t: F.array_join(F.filter("sources", lambda s: s.isin(sorted(t))), SEP)
+    each = F.array(*[F.struct(F.lit(m).cast("int").alias("mix_id"), inside(t).alias("set")) for m, t in sorted(wanted.items())])
+    named = texts.select(F.explode(F.filter(each, lambda x: x.set != "")).alias("x"), "owners", "u", "n_tokens").select("x.mix_id", "x.set", "owners", "u", "n_tokens")
+    supply: dict[int, dict[tuple[str, ...], int]] = {}
+    for r in named.groupBy("mix_id", "set").agg(F.sum("n_tokens").alias("n")).collect():  # at most 2**MAX_SOURCES a mix
+        supply.setdefault(r["mix_id"], {})[tuple(r["set"].split(SEP))] = r["n"]
+    # lay the uses of a set one after the other: use r of a text at fraction x of the set is at r + x
+    spans: list[tuple[int, str, str, float, float]] = []
     for m, t in sorted(wanted.items()):
-        inside = F.filter("sources", lambda s: s.isin(sorted(t)))
-        named = texts.select(F.array_join(inside, "\x1f").alias("set"), "owners", "u", "n_tokens").where("set <> ''")
-        supply = {tuple(r["set"].split("\x1f")): r["n"] for r in named.groupBy("set").agg(F.sum("n_tokens").alias("n")).collect()}  # at most 2**MAX_SOURCES
-        size, flow = route(supply, t, total)
-        # lay the uses of a set one after the other: use r of a text at fraction x of the set is at r + x
-        spans: list[tuple[str, str, float, float]] = []
         ends: dict[tuple[str, ...], float] = {}
-        for (q, s), n in sorted(flow.items()):
+        for (q, s), n in sorted(route(supply.get(m, {}), t, total)[1].items()):
             at = ends.get(q, 0.0)
-            ends[q] = at + n / supply[q]
-            spans.append(("\x1f".join(q), s, at, ends[q]))
-        cuts = sorted({round(x % 1, 12) for _, _, a, b in spans for x in (a, b)} - {0.0})
-        marks: dict[tuple[str, float], int] = {}
-        if cuts:
-            for r in key_quantiles(named, "set", "u", cuts, weight="n_tokens").collect():
-                marks[r["set"], r["prob"]] = r["quantile"]
-        rows = []
-        for q, s, a, b in spans:
-            use = int(a)
-            while use < b - 1e-12:
-                lo, hi = max(a, use) - use, min(b, use + 1) - use
-                x = 0 if lo <= 1e-12 else marks.get((q, round(lo % 1, 12)), 0)
-                y = 1 << HASH_BITS if hi >= 1 - 1e-12 else marks.get((q, round(hi % 1, 12)), 0)
-                rows.append((m, q, s, use, x, y))
-                use += 1
-        plan = spark.createDataFrame(rows, schema)
-        taken = named.join(F.broadcast(plan), "set").where("u >= low and u < high")
-        doc = F.filter("owners", lambda o: o.source == F.col("source"))[0].doc_id
-        parts.append(taken.select("mix_id", doc.alias("doc_id"), "source", "u", "n_tokens"))
-    if not parts:
-        return spark.createDataFrame([], "mix_id int, doc_id bigint, source string, uses bigint, n_tokens bigint")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+            ends[q] = at + n / supply[m][q]
+            spans.append((m, SEP.join(q), s, at, ends[q]))
+    cuts = sorted({round(x % 1, 12) for *_, a, b in spans for x in (a, b)} - {0.0})
+    marks: dict[tuple[str, float], int] = {}
+    if cuts:
+        keyed = named.select(F.concat_ws(SEP, "mix_id", "set").alias("key"), "u", "n_tokens")
+        for r in key_quantiles(keyed, "key", "u", cuts, weight="n_tokens", digit_bits=14).collect():  # one for each set and cut
+            marks[r["key"], r["prob"]] = r["quantile"]
+    plan = []
+    for m, q, s, a, b in spans:
+        use = int(a)
+        while use < b - 1e-12:
+            lo, hi = max(a, use) - use, min(b, use + 1) - use
+            x = 0 if lo <= 1e-12 else marks[f"{m}{SEP}{q}", round(lo % 1, 12)]
+            y = 1 << HASH_BITS if hi >= 1 - 1e-12 else marks[f"{m}{SEP}{q}", round(hi % 1, 12)]
+            plan.append((m, q, s, x, y))
+            use += 1
+    taken = named.join(F.broadcast(spark.createDataFrame(plan, "mix_id int, set string, source string, low bigint, high bigint")), ["mix_id", "set"]).where("u >= low and u < high")
+    doc = F.filter("owners", lambda o: o.source == F.col("source"))[0].doc_id
+    every = taken.select("mix_id", doc.alias("doc_id"), "source", "u", "n_tokens")
     return every.groupBy("mix_id", "doc_id", "source", "n_tokens", "u").agg(F.count("*").alias("uses")).select("mix_id", "doc_id", "source", "uses", "n_tokens")
 
 
