@@ -24,6 +24,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
+def has_token(text: Column) -> Column:
+    """Whether ``text`` has a kept token; looks no further than the first one."""
+    return F.coalesce(F.lower(text).rlike(f"(?<![a-z0-9])[a-z0-9]{{{MIN_TOKEN},{MAX_TOKEN}}}(?![a-z0-9])"), F.lit(False))
+
+
 def query_terms(text: str) -> list[str]:
     """The distinct kept tokens of a query string, first occurrence first."""
     import re

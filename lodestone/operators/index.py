@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.codec import delta_decode, delta_encode, varbyte_decode, varbyte_encode, varbyte_length
-from lodestone.functions.text import tokens
+from lodestone.functions.text import has_token, tokens
 from lodestone.operators.prefix import before
 from lodestone.sources.collection import explode_postings, read_blocks
 
 
 def tokenized(passages: DataFrame) -> DataFrame:
     """``(doc_id, passage_id, tokens)`` of the passages with a kept token; the others keep their doc_id unused."""
-    return passages.select("doc_id", "passage_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    return passages.where(has_token(F.col("text"))).select("doc_id", "passage_id", tokens(F.col("text")).alias("tokens"))
 
 
 def postings(passages: DataFrame) -> DataFrame:
@@ -32,13 +32,18 @@ def lexicon(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def index_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
-    """One row ``(n_docs, avgdl, n_terms, n_postings, n_tokens)``."""
+def index_figures(docs: DataFrame, lex: DataFrame) -> DataFrame:
+    """One row ``(n_docs, avgdl, n_terms, n_postings, n_tokens)`` from a document table and a lexicon."""
     d = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_tokens"), F.lit(1).alias("one"))
-    p = lexicon(post).agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.lit(1).alias("one"))
+    p = lex.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.lit(1).alias("one"))
     return d.join(p, "one").select("n_docs", "avgdl", "n_terms", "n_postings", "n_tokens")
 
 
+def index_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
+    """``index_figures`` of a document table and postings."""
+    return index_figures(docs, lexicon(post))
+
+
 def delta_postings(post: DataFrame) -> DataFrame:
     """``(term, doc_id, gap, tf)``: the first doc_id of a list as it is, later ones as differences.
 

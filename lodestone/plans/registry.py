@@ -142,7 +142,7 @@ def index_layout_size(spark: SparkSession, d: str) -> DataFrame:
     """The bytes of the packed index, of its three parts and of the collection's text."""
     p = _passages(spark, d)
     lay = index.lexicon_layout(index.postings(p)).agg(F.sum("length").alias("list_bytes"), F.sum(F.octet_length("term") + 24).alias("lexicon_bytes"), F.lit(1).alias("one"))
-    docs = p.where(F.size(text.tokens(F.col("text"))) > 0)
+    docs = p.where(text.has_token(F.col("text")))
     tab = docs.agg(F.sum(F.coalesce(F.octet_length("passage_id"), F.lit(0)) + 12).alias("doc_table_bytes"), F.sum(F.octet_length("text")).alias("text_bytes"), F.lit(1).alias("one"))
     return lay.join(tab, "one").drop("one")
 

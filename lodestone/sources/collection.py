@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import drop_invalid_utf8, strip
 
 
+SPREAD_BYTES = 1 << 20
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of ``folder``."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """The Parquet table ``name`` of ``folder``.
+
+    A table of some size that comes in fewer splits than there are cores, as a single file with one row group does, is dealt out
+    to all of them. Tables of more splits than that are read as they are.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SPREAD_BYTES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def read_passages(spark: SparkSession, folder: str) -> DataFrame:
