@@ -33,7 +33,7 @@ BANDS, ROWS = 32, 3
 SYMBOLS, RADIUS = 20, 14  # unrelated sketches differ in 15 symbols on average, those of half-equal sets in 7 or 8
 SKETCH = (1 << (2 * SYMBOLS)) - 1
 SHARD = 2048  # passages under one key beyond which its tree is split
-BLOOM_BITS = 1 << 23
+BLOOM_BITS = (20, 26)  # least and most bits of a Bloom filter, as powers of two: 128 KB to 8 MB
 _SALTS = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, size=(BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 _PAIRS = 0x5555555555555555
@@ -283,23 +283,24 @@ def candidates(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.unionByName(far).distinct()
 
 
-def _positions(ids: np.ndarray) -> list[np.ndarray]:
+def _positions(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77))
-    return [((h >> np.uint64(16 * i)) % np.uint64(BLOOM_BITS)).astype(np.int64) for i in range(3)]
+    return [((mix(h + np.uint64(i)) >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64) for i in range(3)]
 
 
 def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size of a column of ids; one that overflows only lets more rows pass."""
+    """A packed Bloom filter of a column of ids, sized by their number within BLOOM_BITS; one that overflows only lets more rows pass."""
+    bits = 1 << min(BLOOM_BITS[1], max(BLOOM_BITS[0], (12 * ids.count()).bit_length()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, dtype=bool)
+        hit = np.zeros(bits, dtype=bool)
         for b in it:
-            for p in _positions(b.column(0).to_numpy(zero_copy_only=False)):
-                bits[p] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["data"])
+            for p in _positions(b.column(0).to_numpy(zero_copy_only=False), bits):
+                hit[p] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(hit).tobytes(), 1)], pa.binary())], names=["data"])
 
-    total = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    for r in ids.coalesce(8).mapInArrow(run, "data binary").toLocalIterator():  # eight times 1 MB
+    total = np.zeros(bits // 8, dtype=np.uint8)
+    for r in ids.coalesce(8).mapInArrow(run, "data binary").toLocalIterator():  # eight times 8 MB at most
         total |= np.frombuffer(zlib.decompress(r["data"]), dtype=np.uint8)
     return total
 
@@ -328,11 +329,11 @@ def second_neighbours(links: DataFrame) -> DataFrame:
 
 def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int, dampen: np.ndarray) -> DataFrame:
     """``(cls, runs)`` of the classes that may be in the Bloom filter: their sorted runs, six bytes each; a task sends a class once."""
-    packed = texts.sparkSession.sparkContext.broadcast(wanted)  # BLOOM_BITS bits
+    packed, bits = texts.sparkSession.sparkContext.broadcast(wanted), 8 * len(wanted)  # 8 MB at most
 
     def emit(ids, cls, sig, used, at, count, seen):
         hit = np.ones(len(cls), dtype=bool)
-        for p in _positions(cls):
+        for p in _positions(cls, bits):
             hit &= (packed.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
         take = np.flatnonzero(hit)
         take = take[_first_of_class(cls[take], seen)] if len(take) else take

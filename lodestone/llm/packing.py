@@ -117,7 +117,9 @@ def pack(items: DataFrame, specs: list[tuple[int, int]], per_task: int = 100_000
         return run
 
     tasks = max(1, -(-n // per_task))
-    placed = cut(items.repartition(tasks, F.xxhash64("item_id", "n_tokens")).mapInArrow(first, schema))
+    # dealt by row, as one item can be repeated on most of them; the rows are written, so their numbers stay
+    dealt = items.withColumn("row", F.monotonically_increasing_id()).repartition(tasks, "row").drop("row")
+    placed = cut(dealt.mapInArrow(first, schema))
     caps = dict(specs)
     limit = F.coalesce(*[F.when(F.col("spec_id") == s, F.lit(int(NEARLY_FULL * c))) for s, c in caps.items()]) if caps else F.lit(0)
     open_ = placed.where(F.col("content") < limit)
