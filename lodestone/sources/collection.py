@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import drop_invalid_utf8, strip
 
 
-SPREAD_BYTES = 1 << 20
+SPREAD_BYTES, SPLIT_BYTES = 1 << 20, 128 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,7 +19,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SPREAD_BYTES and df.rdd.getNumPartitions() < cores:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if SPREAD_BYTES <= size < cores * SPLIT_BYTES and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
 
