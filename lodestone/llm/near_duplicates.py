@@ -30,7 +30,7 @@ from lodestone.operators.storage import cut
 CELLS = 1 << 20  # of the table that counts runs
 COMMON_SHARE = 1e-3  # runs in more than this share of passages weigh less
 BANDS, ROWS = 32, 3
-SYMBOLS, RADIUS = 20, 14  # unrelated sketches differ in 15 symbols on average, those of half-equal sets in 7 or 8
+SYMBOLS, RADIUS = 20, 12  # unrelated sketches differ in 15 symbols on average, those of half-equal sets in 7 or 8
 SKETCH = (1 << (2 * SYMBOLS)) - 1
 SHARD = 2048  # passages under one key beyond which its tree is split
 BLOOM_BITS = (20, 26)  # least and most bits of a Bloom filter, as powers of two: 128 KB to 8 MB
