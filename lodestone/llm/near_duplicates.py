@@ -1,8 +1,8 @@
 """Near-duplicate passages by containment of token runs.
 
 1. Passages with the same set of runs form a class; one of them stands for it from here on.
-2. A representative gets min-hashes of its runs. Runs that occur in many passages weigh less; how many is counted over the whole
-   collection in a table of fixed size. Three min-hashes together are a shard key, so unrelated passages hardly ever share one.
+2. A representative gets min-hashes of its runs, all of which weigh the same: in a group of edited copies the runs that all share decide.
+   Three min-hashes together are a shard key, so unrelated passages hardly ever share one.
 3. In every shard a BK-tree is built on sketches of two bits for each of 20 min-hashes. A child hangs under its parent at the
    integer Hamming distance of their sketches; a search follows only the edges within the radius around its own distance.
    The neighbours found are candidates.
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from lodestone.llm.shingles import mix, run_sets
 from lodestone.operators.storage import cut
 
-CELLS = 1 << 20  # of the table that counts runs
-COMMON_SHARE = 1e-3  # runs in more than this share of passages weigh less
 BANDS, ROWS = 32, 3
 SYMBOLS, RADIUS = 20, 12  # unrelated sketches differ in 15 symbols on average, those of half-equal sets in 7 or 8
 SKETCH = (1 << (2 * SYMBOLS)) - 1
@@ -48,43 +46,6 @@ def _sets(batch: pa.RecordBatch, width: int, min_runs: int) -> tuple[np.ndarray,
     return batch.column(0).to_numpy(zero_copy_only=False)[keep], first[keep], count[keep], runs
 
 
-def run_counts(texts: DataFrame, width: int, min_runs: int) -> tuple[np.ndarray, int]:
-    """Passages by hash cell of their runs, an array of CELLS counts, and the number of passages that count.
-
-    Each task counts its own part and sends compressed blocks; blocks are added up in groups of at most 64, in as many rounds as
-    it takes, so that no task and not the driver holds more than a fixed amount.
-    """
-    block = CELLS // 16
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, docs = np.zeros(CELLS, dtype=np.int64), 0
-        for b in it:
-            ids, _, _, runs = _sets(b, width, min_runs)
-            docs += len(ids)
-            cells += np.bincount((runs & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        src = np.random.default_rng().integers(0, 2**40)
-        data = [zlib.compress(cells[i * block : (i + 1) * block].tobytes(), 1) for i in range(16)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([src] * 16, pa.int64()), pa.array(data, pa.binary()), pa.array([docs] * 16, pa.int64())], names=["block", "src", "data", "docs"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(block, dtype=np.int64)
-        for x in pdf["data"]:
-            total += np.frombuffer(zlib.decompress(x), dtype=np.int64)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "src": [int(pdf["src"].iloc[0])], "data": [zlib.compress(total.tobytes(), 1)], "docs": [int(pdf["docs"].sum())]})
-
-    schema = "block int, src bigint, data binary, docs bigint"
-    parts = texts.mapInArrow(count, schema)
-    left = texts.rdd.getNumPartitions()
-    while left > 1:
-        left = -(-left // 64)
-        parts = parts.groupBy("block", (F.pmod("src", F.lit(left))).alias("g")).applyInPandas(add, schema)
-    table, docs = np.zeros(CELLS, dtype=np.int64), 0
-    for r in parts.collect():  # 16 blocks
-        table[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(r["data"]), dtype=np.int64)
-        docs = r["docs"]
-    return table, docs
-
-
 def _first_of_class(cls: np.ndarray, seen: set[int]) -> np.ndarray:
     """Places of the first passage of every class that this task has not met; ``seen`` grows with the task's part only."""
     _, first = np.unique(cls, return_index=True)
@@ -102,15 +63,12 @@ def _own_runs(first: np.ndarray, count: np.ndarray, runs: np.ndarray) -> tuple[n
     return runs[np.cumsum(owned[:-1]) > 0], np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)
 
 
-def _minima(used: np.ndarray, at: np.ndarray, factor: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` weighted min-hashes of each row, 32 bits each."""
+def _minima(used: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` min-hashes of each row, 32 bits each."""
     h = mix(used)
-    slow = factor[(used & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
     sig = np.empty((n, len(at)), dtype=np.uint64)
     for k in range(n):
         u = (h * _SEEDS[k, 0] + _SEEDS[k, 1]) >> np.uint64(32)
-        u += np.uint64(1)
-        u *= slow
         sig[k] = mix(np.minimum.reduceat(u, at)) >> np.uint64(32)
     return sig
 
@@ -126,9 +84,8 @@ def _classes(used: np.ndarray, at: np.ndarray, count: np.ndarray, sig: np.ndarra
     return cls.view(np.int64)
 
 
-def _each(texts: DataFrame, width: int, min_runs: int, dampen: np.ndarray, hashes: int, emit, schema: str) -> DataFrame:
-    """``emit(doc_ids, cls, sig, used, at, count)`` on every batch; ``dampen`` has the factor by which runs of a cell weigh less."""
-    cells = texts.sparkSession.sparkContext.broadcast(dampen)  # CELLS numbers of two bytes, whatever the collection
+def _each(texts: DataFrame, width: int, min_runs: int, hashes: int, emit, schema: str) -> DataFrame:
+    """``emit(doc_ids, cls, sig, used, at, count, seen)`` on every batch."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +94,19 @@ def _each(texts: DataFrame, width: int, min_runs: int, dampen: np.ndarray, hashe
             ids, first, count, runs = _sets(b, width, min_runs)
             if len(ids):
                 used, at = _own_runs(first, count, runs)
-                sig = _minima(used, at, cells.value, hashes)
+                sig = _minima(used, at, hashes)
                 yield pa.RecordBatch.from_arrays(emit(ids, _classes(used, at, count, sig), sig, used, at, count, seen), names=names)
 
     return texts.mapInArrow(run, schema)
 
 
-def memberships(texts: DataFrame, width: int, min_runs: int, dampen: np.ndarray) -> DataFrame:
+def memberships(texts: DataFrame, width: int, min_runs: int) -> DataFrame:
     """``(doc_id, cls)``: the class of every passage, which stands for its set of runs."""
     emit = lambda ids, cls, *_: [pa.array(ids, pa.int64()), pa.array(cls)]
-    return _each(texts, width, min_runs, dampen, SYMBOLS, emit, "doc_id bigint, cls bigint")
+    return _each(texts, width, min_runs, SYMBOLS, emit, "doc_id bigint, cls bigint")
 
 
-def band_keys(texts: DataFrame, width: int, min_runs: int, dampen: np.ndarray) -> DataFrame:
+def band_keys(texts: DataFrame, width: int, min_runs: int) -> DataFrame:
     """``(key, cls)``: a row for each band of the min-hashes of each class. A task sends a class once, so copies are combined before the shuffle."""
 
     def emit(ids, cls, sig, used, at, count, seen):
@@ -162,7 +119,7 @@ def band_keys(texts: DataFrame, width: int, min_runs: int, dampen: np.ndarray) -
             keys[j] = x
         return [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(cls[fresh], BANDS))]
 
-    return _each(texts, width, min_runs, dampen, BANDS * ROWS, emit, "key bigint, cls bigint")
+    return _each(texts, width, min_runs, BANDS * ROWS, emit, "key bigint, cls bigint")
 
 
 def distance(a: int, b: int) -> int:
@@ -327,7 +284,7 @@ def second_neighbours(links: DataFrame) -> DataFrame:
     return far.join(links, ["a", "b"], "left_anti")
 
 
-def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int, dampen: np.ndarray) -> DataFrame:
+def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int) -> DataFrame:
     """``(cls, runs)`` of the classes that may be in the Bloom filter: their sorted runs, six bytes each; a task sends a class once."""
     packed, bits = texts.sparkSession.sparkContext.broadcast(wanted), 8 * len(wanted)  # 8 MB at most
 
@@ -339,7 +296,7 @@ def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int, dam
         take = take[_first_of_class(cls[take], seen)] if len(take) else take
         return [pa.array(cls[take]), pa.array([_pack_runs(used[at[i] : at[i] + count[i]]) for i in take.tolist()], pa.binary())]
 
-    return _each(texts, width, min_runs, dampen, SYMBOLS, emit, "cls bigint, runs binary").dropDuplicates(["cls"])
+    return _each(texts, width, min_runs, SYMBOLS, emit, "cls bigint, runs binary").dropDuplicates(["cls"])
 
 
 def verified(pairs: DataFrame, runs: DataFrame, share: float) -> DataFrame:
@@ -373,16 +330,14 @@ def class_pairs(table: DataFrame, id_col: str, text_col: str, width: int = 5, sh
     are as many passages, which are never paired with each other. Other columns are ignored; an empty table gives empty results.
     """
     texts = prepared(table, id_col, text_col)
-    counts, n = run_counts(texts, width, min_runs)
-    dampen = np.clip(np.round(counts / max(2.0, COMMON_SHARE * n)), 1, 60000).astype(np.uint16)
-    pairs = cut(candidates(band_keys(texts, width, min_runs, dampen)))
+    pairs = cut(candidates(band_keys(texts, width, min_runs)))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    runs = cut(runs_of(texts, bloom(ends), width, min_runs, dampen))
+    runs = cut(runs_of(texts, bloom(ends), width, min_runs))
     near = cut(verified(pairs, runs, share))
     more = cut(second_neighbours(near))
     touched = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     links = cut(near.unionByName(verified(more, runs.join(touched, "cls", "left_semi"), share)))
-    return memberships(texts, width, min_runs, dampen), links
+    return memberships(texts, width, min_runs), links
 
 
 def duplicate_pairs(table: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, min_runs: int = 1) -> DataFrame:

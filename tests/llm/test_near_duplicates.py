@@ -91,6 +91,17 @@ def test_one_text_on_a_third_of_the_rows(spark):
     assert links.count() == 0  # copies are one class
 
 
+def test_a_third_of_the_rows_are_edited_copies(spark):
+    rng = random.Random(3)
+    text = [f"same{i}" for i in range(98)]
+    data = [(i, " ".join(f"own{i}x{j}" if j in edits else w for j, w in enumerate(text))) for i in range(120) for edits in [set(rng.sample(range(98), 4))]]
+    data += [(1000 + i, " ".join(f"v{i}x{j}" for j in range(40))) for i in range(240)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got, want = set(rows(nd.duplicate_pairs(df, width=3, share=0.6, min_runs=10))), brute(data, 3, 0.6, 10)
+    assert len(want) > 7000 and got <= want and len(got) >= 0.99 * len(want)
+    assert len({r["group"] for r in nd.duplicate_groups(df, width=3, share=0.6, min_runs=10).collect()}) == 241
+
+
 def test_large_shards_are_split(spark, monkeypatch):
     monkeypatch.setattr(nd, "SHARD", 8)
     rng = random.Random(2)
