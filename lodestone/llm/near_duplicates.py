@@ -6,9 +6,10 @@
 3. In every shard a BK-tree is built on sketches of two bits for each of 20 min-hashes. A child hangs under its parent at the
    integer Hamming distance of their sketches; a search follows only the edges within the radius around its own distance.
    The neighbours found are candidates.
-4. Candidates are compared by their whole sets of runs. Then the links found are followed once more: a class's neighbours' neighbours are
-   compared with it too, which finds most pairs whose sketches or keys differ by chance.
-5. Pairs of classes are carried over to their members.
+4. Trees miss pairs by chance, above all a short passage within a long one. So a class's rarest runs, one more than it may lack in a case,
+   are looked up among all runs of the classes at least as long: a case shares one of them, and no case is missed.
+5. Candidates are compared by their whole sets of runs.
+6. Pairs of classes are carried over to their members.
 
 Shard trees are routed by key and never broadcast: all trees together grow with the collection.
 """
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.shingles import mix, run_sets
 from lodestone.operators.storage import cut
 
+CELLS = 1 << 20  # of the table that counts runs
+HOT = 20_000  # passages with runs of one cell beyond which a run's passages are dealt to several tasks
+RUN_BITS = 50  # of a run's hash, see shingles
 BANDS, ROWS = 32, 3
 SYMBOLS, RADIUS = 20, 12  # unrelated sketches differ in 15 symbols on average, those of half-equal sets in 7 or 8
 SKETCH = (1 << (2 * SYMBOLS)) - 1
@@ -46,6 +50,43 @@ def _sets(batch: pa.RecordBatch, width: int, min_runs: int) -> tuple[np.ndarray,
     return batch.column(0).to_numpy(zero_copy_only=False)[keep], first[keep], count[keep], runs
 
 
+def run_counts(texts: DataFrame, width: int, min_runs: int) -> tuple[np.ndarray, int]:
+    """Passages by hash cell of their runs, an array of CELLS counts, and the number of passages that count.
+
+    Each task counts its own part and sends compressed blocks; blocks are added up in groups of at most 64, in as many rounds as
+    it takes, so that no task and not the driver holds more than a fixed amount.
+    """
+    block = CELLS // 16
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, docs = np.zeros(CELLS, dtype=np.int64), 0
+        for b in it:
+            ids, _, _, runs = _sets(b, width, min_runs)
+            docs += len(ids)
+            cells += np.bincount((runs & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        src = np.random.default_rng().integers(0, 2**40)
+        data = [zlib.compress(cells[i * block : (i + 1) * block].tobytes(), 1) for i in range(16)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([src] * 16, pa.int64()), pa.array(data, pa.binary()), pa.array([docs] * 16, pa.int64())], names=["block", "src", "data", "docs"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(block, dtype=np.int64)
+        for x in pdf["data"]:
+            total += np.frombuffer(zlib.decompress(x), dtype=np.int64)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "src": [int(pdf["src"].iloc[0])], "data": [zlib.compress(total.tobytes(), 1)], "docs": [int(pdf["docs"].sum())]})
+
+    schema = "block int, src bigint, data binary, docs bigint"
+    parts = texts.mapInArrow(count, schema)
+    left = texts.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // 64)
+        parts = parts.groupBy("block", (F.pmod("src", F.lit(left))).alias("g")).applyInPandas(add, schema)
+    table, docs = np.zeros(CELLS, dtype=np.int64), 0
+    for r in parts.collect():  # 16 blocks
+        table[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(r["data"]), dtype=np.int64)
+        docs = r["docs"]
+    return table, docs
+
+
 def _first_of_class(cls: np.ndarray, seen: set[int]) -> np.ndarray:
     """Places of the first passage of every class that this task has not met; ``seen`` grows with the task's part only."""
     _, first = np.unique(cls, return_index=True)
@@ -272,16 +313,99 @@ def _unpack_runs(data: np.ndarray) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-def second_neighbours(links: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, that are no links, of a class and the neighbours of its smallest and of its largest neighbour.
+def holders(texts: DataFrame, width: int, min_runs: int, share: float, counts: np.ndarray) -> DataFrame:
+    """``(key, cls, meta, b0, b1, b2, b3)``: a row for each run of each class, with a bitmap of 256 bits of all its runs.
 
-    That is about as many as there are links in a group in which all are linked, however large the group is.
+    meta has the class's number of runs (bits 30 to 58) and how many of them are not before this one in the order of the counts (bits 0 to 29),
+    bit 59 for a hot run, bit 60 for a run that is looked up, bit 61 for rows that are only that. A hot run's classes are dealt to several keys and
+    its lookups go to each of them.
     """
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ends = both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
-    via = ends.select(F.col("a").alias("u"), F.explode(F.array_distinct(F.array("low", "high"))).alias("x"))
-    far = via.join(both, via["x"] == both["a"]).where("u <> b").select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct()
-    return far.join(links, ["a", "b"], "left_anti")
+    cells, per = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32)), round(share * 1000)  # CELLS numbers, whatever the collection
+
+    def emit(ids, cls, sig, used, at, count, seen):
+        fresh = np.zeros(len(cls), dtype=bool)
+        fresh[_first_of_class(cls, seen)] = True
+        h = mix(used) >> np.uint64(56)
+        bit = np.uint64(1) << (h & np.uint64(63))
+        maps = [np.bitwise_or.reduceat(np.where(h >> np.uint64(6) == w, bit, np.uint64(0)), at).view(np.int64) for w in range(4)]
+        row = np.repeat(np.arange(len(cls)), count)
+        kept = fresh[row]
+        row, run = row[kept], used[kept]
+        cell = cells.value[(run & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.int64)
+        o = np.lexsort((run, cell, row))
+        row, run, cell = row[o], run[o].astype(np.int64), cell[o]
+        size = count[row].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
+        pos = np.arange(len(row)) - np.repeat(first, count[fresh])
+        probe = pos <= size - (per * size + 999) // 1000
+        meta = (size << 30) | (size - pos)
+        salts = np.minimum(cell // HOT + 1, 8191)
+        hot = salts > 1
+        salt = np.where(hot, (mix(cls.view(np.uint64))[row] >> np.uint64(1)).astype(np.int64) % salts, 0)
+        many = np.flatnonzero(hot & probe)
+        again = np.repeat(many, salts[many])
+        turn = np.arange(len(again)) - np.repeat(np.cumsum(salts[many]) - salts[many], salts[many])
+        key = np.concatenate((run | (salt << RUN_BITS), run[again] | (turn << RUN_BITS)))
+        meta = np.concatenate((meta | (hot.astype(np.int64) << 59) | ((probe & ~hot).astype(np.int64) << 60), meta[again] | (7 << 59)))
+        row = np.concatenate((row, row[again]))
+        return [pa.array(key), pa.array(cls[row]), pa.array(meta), *(pa.array(x[row]) for x in maps)]
+
+    return _each(texts, width, min_runs, SYMBOLS, emit, "key bigint, cls bigint, meta bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+
+
+def contained(rows: DataFrame, share: float) -> DataFrame:
+    """Candidate pairs ``(a, b)``, a < b, from the rows of ``holders``; every pair of classes with ``share`` of the runs of either in common is among them.
+
+    A pair is left out only where that is certain: too few runs are left in the longer class from the looked-up run on, or more runs
+    of the shorter are missing in the other's bitmap than a case may lack.
+    """
+    per, step = round(share * 1000), 1 << 20  # pairs looked at together
+
+    def look(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, cls, meta = t[0], t[1], t[2]
+        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        held = np.add.reduceat((meta >> 61 == 0).astype(np.int64), cuts[:-1])  # they stand first
+        probe = np.flatnonzero(((meta >> 60) & 1 == 1) & (held[group] > ((meta >> 61) == 0)))
+        size, rest = (meta >> 30) & ((1 << 29) - 1), meta & ((1 << 30) - 1)
+        need = (per * size + 999) // 1000
+        total = np.cumsum(held[group[probe]])
+        at = 0
+        while at < len(probe):
+            done = total[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(total, done + step)))
+            p = probe[at:to]
+            n = held[group[p]]
+            x = np.repeat(p, n)
+            y = np.repeat(cuts[group[p]], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            ok = (size[x] <= size[y]) & (rest[y] >= need[x]) & (cls[x] != cls[y])
+            x, y = x[ok], y[ok]
+            lack = np.zeros(len(x), dtype=np.int64)
+            for w in range(3, 7):
+                lack += np.bitwise_count((t[w][x] & ~t[w][y]).view(np.uint64))
+            ok = lack <= size[x] - need[x]
+            x, y = cls[x[ok]], cls[y[ok]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            at = to
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((7, 0), dtype=np.int64)
+        for b in it:
+            t = np.concatenate((rest, [c.to_numpy(zero_copy_only=False) for c in b.columns]), axis=1)
+            if not t.shape[1]:
+                continue
+            last = int(np.searchsorted(t[0], t[0, -1]))  # the last key may go on in the next batch
+            if last:
+                yield from look(t[:, :last])
+            rest = t[:, last:]
+            if (rest[2, 0] >> 59) & 1:  # of a hot run only the classes that hold it are kept
+                yield from look(rest)
+                rest = rest[:, rest[2] >> 61 == 0]
+        if rest.shape[1]:
+            yield from look(rest)
+
+    return rows.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(run, "a bigint, b bigint")
 
 
 def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int) -> DataFrame:
@@ -330,13 +454,11 @@ def class_pairs(table: DataFrame, id_col: str, text_col: str, width: int = 5, sh
     are as many passages, which are never paired with each other. Other columns are ignored; an empty table gives empty results.
     """
     texts = prepared(table, id_col, text_col)
-    pairs = cut(candidates(band_keys(texts, width, min_runs)))
+    counts = run_counts(texts, width, min_runs)[0]
+    looked_up = contained(holders(texts, width, min_runs, share, counts), share)
+    pairs = cut(candidates(band_keys(texts, width, min_runs)).unionByName(looked_up).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    runs = cut(runs_of(texts, bloom(ends), width, min_runs))
-    near = cut(verified(pairs, runs, share))
-    more = cut(second_neighbours(near))
-    touched = more.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    links = cut(near.unionByName(verified(more, runs.join(touched, "cls", "left_semi"), share)))
+    links = cut(verified(pairs, cut(runs_of(texts, bloom(ends), width, min_runs)), share))
     return memberships(texts, width, min_runs), links
 
 

@@ -102,6 +102,23 @@ def test_a_third_of_the_rows_are_edited_copies(spark):
     assert len({r["group"] for r in nd.duplicate_groups(df, width=3, share=0.6, min_runs=10).collect()}) == 241
 
 
+@pytest.mark.parametrize("hot", [nd.HOT, 3])
+def test_short_passages_within_long_ones(spark, monkeypatch, hot):
+    monkeypatch.setattr(nd, "HOT", hot)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    long = [rng.choices(words, k=rng.randint(150, 400)) for _ in range(30)]
+    data = [(i, " ".join(w)) for i, w in enumerate(long)]
+    for k in range(60):  # excerpts of 3 to 15 % of a long passage, some with own words after them, and a run that many hold
+        w = long[k % 30]
+        n = rng.randint(14, 24)
+        at = rng.randrange(len(w) - n)
+        data.append((100 + k, " ".join([*w[at : at + n], *(f"own{k}x{j}" for j in range(k % 7)), "seen", "very", "often"])))
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    want = brute(data, 3, 0.6, 10)
+    assert len(want) >= 55 and rows(nd.duplicate_pairs(df, width=3, share=0.6, min_runs=10)) == sorted(want)
+
+
 def test_large_shards_are_split(spark, monkeypatch):
     monkeypatch.setattr(nd, "SHARD", 8)
     rng = random.Random(2)
