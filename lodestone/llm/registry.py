@@ -87,12 +87,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return templates.template_residue(read_table(spark, d, "documents")).select(F.col("id").alias("doc_id"))
+    return templates.template_residue(read_table(spark, d, "documents"), site_col="site").select(F.col("id").alias("doc_id"))
 
 
 def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     """Documents without template residue."""
-    return templates.without_residue(read_table(spark, d, "documents")).select("doc_id", "lang", "source", "n_chars")
+    return templates.without_residue(read_table(spark, d, "documents"), site_col="site").select("doc_id", "lang", "source", "n_chars")
 
 
 QUERIES = {"p8_containers": p8_containers, "p8_summary": p8_summary, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p2_restored": p2_restored, "p10_found": p10_found, "p10_clean": p10_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
