@@ -3,19 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a new temporary one on a local master; on a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="lodestone-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once, written as a table in the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing needs any longer: not their readers, nor what is still to be computed from them."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
