@@ -1,16 +1,15 @@
-"""Near-duplicate passages by containment of token runs.
-
-1. Passages with the same set of runs form a class; one of them stands for it from here on.
-2. A representative gets min-hashes of its runs, all of which weigh the same: in a group of edited copies the runs that all share decide.
-   Three min-hashes together are a shard key, so unrelated passages hardly ever share one.
-3. In every shard a BK-tree is built on sketches of two bits for each of 20 min-hashes. A child hangs under its parent at the
-   integer Hamming distance of their sketches; a search follows only the edges within the radius around its own distance.
-   The neighbours found are candidates.
-4. Trees miss pairs by chance, above all a short passage within a long one. So a class's rarest runs, one more than it may lack in a case,
-   are looked up among all runs of the classes at least as long: a case shares one of them, and no case is missed.
-5. Candidates are compared by their whole sets of runs.
-6. Pairs of classes are carried over to their members.
-
+"""Near-duplicate passages: token runs of which a share of the union is common.
+
+1. Passages with the same set of runs form a class (128 bits of hash); one of them stands for it from here on.
+2. A class gets BANDS triples of min-hashes of its runs, all of which weigh the same: in a group of edited copies the runs that all share
+   decide. The first two of a triple are a shard key, the third gives a short sketch of SYMBOLS bits.
+3. In every shard a BK-tree is built over the sketches. A child hangs under its parent at the integer Hamming distance of their sketches;
+   a search follows only the edges within the small radius. Equal sketches share a node. The neighbours found are candidates.
+4. Shards that a table of counts tells to be hot are split before they are shuffled, by the tree's own rule: a virtual root is derived
+   from the key, a class goes to the edge of its distance and to those below it within the radius, level by level.
+5. Candidates are compared by their whole sets of runs, and pairs of classes are carried over to their members.
+
+A pair of classes with share s of the union in common is missed with chance (1 - s**3)**BANDS: 4e-4 at 0.6, 3e-5 at 0.65, 2e-6 at 0.7.
 Shard trees are routed by key and never broadcast: all trees together grow with the collection.
 """
 
@@ -26,32 +25,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shingles import mix, run_sets
-from lodestone.operators.storage import cut
-
-CELLS = 1 << 20  # of the table that counts runs
-HOT = 20_000  # passages with runs of one cell beyond which a run's passages are dealt to several tasks
-RUN_BITS = 50  # of a run's hash, see shingles
-BANDS, ROWS = 32, 3
-SYMBOLS, RADIUS = 20, 12  # unrelated sketches differ in 15 symbols on average, those of half-equal sets in 7 or 8
-SKETCH = (1 << (2 * SYMBOLS)) - 1
-SHARD = 2048  # passages under one key beyond which its tree is split
+from lodestone.operators.skew import heavy_keys, skew_join
+from lodestone.operators.storage import cut, release
+
+BANDS = 32
+SYMBOLS, RADIUS = 16, 1  # bits of a sketch; unrelated ones differ in 8 on average
+CELLS = 1 << 20  # of the table that counts shard keys
+HOT = 1 << 16  # classes under one key, more than a cell holds on average, beyond which the key's tree is split before the shuffle
+PART = 4096  # members of a group beyond which its pairs are made by several tasks
+ROWS = 8192  # passages worked on at once
 BLOOM_BITS = (20, 26)  # least and most bits of a Bloom filter, as powers of two: 128 KB to 8 MB
-_SALTS = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = np.random.default_rng(20240501).integers(1, 2**63, size=(BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
-_PAIRS = 0x5555555555555555
+_SEEDS = np.random.default_rng(20240501).integers(1, 2**63, size=(3 * BANDS, 2), dtype=np.uint64) | np.uint64(1)
+_LOW = np.uint64((1 << SYMBOLS) - 1)
+
+
+def _sets(ids: np.ndarray, texts: pa.Array, width: int, min_runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(doc_ids, at, count, runs)``: for the passages with at least min_runs distinct runs, where their runs begin, how many, and all of these runs."""
+    row, runs = run_sets(texts, width)
+    count = np.bincount(row, minlength=len(ids))
+    kept = count >= min_runs
+    count, runs = count[kept], runs[kept[row]]
+    return ids[kept], np.cumsum(count) - count, count, runs
+
+
+def _minima(runs: np.ndarray, at: np.ndarray, which: range) -> dict[int, np.ndarray]:
+    """Min-hashes of each row, 32 bits each, by number."""
+    h = mix(runs)
+    return {k: mix(np.minimum.reduceat((h * _SEEDS[k, 0] + _SEEDS[k, 1]) >> np.uint64(32), at)) >> np.uint64(32) for k in which}
+
+
+def _classes(runs: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The class of each row, two words: sums of two hashes of its runs."""
+    one = mix(np.add.reduceat(mix(runs), at) + count.astype(np.uint64))
+    two = mix(np.add.reduceat(mix(runs ^ np.uint64(0x5DEECE66D)), at) ^ one)
+    return np.stack((one, two), axis=1)
+
+
+def _first_of_class(cls: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Places of the first passage of every class that this task has not met; ``seen`` grows with the task's part only."""
+    _, first = np.unique(cls, return_index=True)
+    first.sort()
+    fresh = [i for i, c in zip(first.tolist(), cls[first].tolist(), strict=True) if c not in seen]
+    seen.update(cls[fresh].tolist())
+    return np.array(fresh, dtype=np.int64)
+
 
+def _binary(cls: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(cls), [None, pa.py_buffer(np.ascontiguousarray(cls))]).cast(pa.binary())
 
-def _sets(batch: pa.RecordBatch, width: int, min_runs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(doc_ids, first, count, runs)`` of a batch (doc_id, text): the rows with at least min_runs distinct runs."""
-    row, runs = run_sets(batch.column(1), width)
-    count = np.bincount(row, minlength=batch.num_rows)
-    first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    keep = np.flatnonzero(count >= min_runs)
-    return batch.column(0).to_numpy(zero_copy_only=False)[keep], first[keep], count[keep], runs
 
+def _each(texts: DataFrame, width: int, min_runs: int, emit, schema: str) -> DataFrame:
+    """``emit(doc_ids, cls, runs, at, count, seen)`` on every slice of at most ROWS passages."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in it:
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
+                ids, at, count, runs = _sets(b.column(0).to_numpy(zero_copy_only=False), b.column(1), width, min_runs)
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays(emit(ids, _classes(runs, at, count), runs, at, count, seen), names=names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def memberships(texts: DataFrame, width: int, min_runs: int) -> DataFrame:
+    """``(id, cls)``: the class of every passage, which stands for its set of runs."""
+    emit = lambda ids, cls, *_: [pa.array(ids, pa.int64()), _binary(cls)]
+    return _each(texts, width, min_runs, emit, "id bigint, cls binary")
 
-def run_counts(texts: DataFrame, width: int, min_runs: int) -> tuple[np.ndarray, int]:
-    """Passages by hash cell of their runs, an array of CELLS counts, and the number of passages that count.
+
+def _keys(runs: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The shard keys of each row, BANDS x rows; the low bits are left free for the sketch."""
+    sig = _minima(runs, at, range(2 * BANDS))
+    return np.stack([mix(mix(sig[2 * j] + np.uint64(j << 32)) + sig[2 * j + 1]) & ~_LOW for j in range(BANDS)])
+
+
+def _own(fresh: np.ndarray, runs: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(runs, at, count)`` of the rows ``fresh``, in ascending order, alone."""
+    take = np.zeros(len(at), dtype=bool)
+    take[fresh] = True
+    own = count[take]
+    return runs[np.repeat(take, count)], np.cumsum(own) - own, own
+
+
+def _cell(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def key_counts(texts: DataFrame, width: int, min_runs: int) -> np.ndarray:
+    """Classes by hash cell of their shard keys, an array of CELLS counts: no key has more classes than its cell.
 
     Each task counts its own part and sends compressed blocks; blocks are added up in groups of at most 64, in as many rounds as
     it takes, so that no task and not the driver holds more than a fixed amount.
@@ -59,226 +123,222 @@ def run_counts(texts: DataFrame, width: int, min_runs: int) -> tuple[np.ndarray,
     block = CELLS // 16
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, docs = np.zeros(CELLS, dtype=np.int64), 0
-        for b in it:
-            ids, _, _, runs = _sets(b, width, min_runs)
-            docs += len(ids)
-            cells += np.bincount((runs & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        cells, seen = np.zeros(CELLS, dtype=np.int64), set()
+        for whole in it:
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
+                ids, at, n, runs = _sets(b.column(0).to_numpy(zero_copy_only=False), b.column(1), width, min_runs)
+                fresh = _first_of_class(_classes(runs, at, n)[:, 0], seen) if len(ids) else ids
+                if len(fresh):
+                    cells += np.bincount(_cell(_keys(*_own(fresh, runs, at, n))).reshape(-1), minlength=CELLS)
         src = np.random.default_rng().integers(0, 2**40)
         data = [zlib.compress(cells[i * block : (i + 1) * block].tobytes(), 1) for i in range(16)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([src] * 16, pa.int64()), pa.array(data, pa.binary()), pa.array([docs] * 16, pa.int64())], names=["block", "src", "data", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([src] * 16, pa.int64()), pa.array(data, pa.binary())], names=["block", "src", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(block, dtype=np.int64)
         for x in pdf["data"]:
             total += np.frombuffer(zlib.decompress(x), dtype=np.int64)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "src": [int(pdf["src"].iloc[0])], "data": [zlib.compress(total.tobytes(), 1)], "docs": [int(pdf["docs"].sum())]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "src": [int(pdf["src"].iloc[0])], "data": [zlib.compress(total.tobytes(), 1)]})
 
-    schema = "block int, src bigint, data binary, docs bigint"
+    schema = "block int, src bigint, data binary"
     parts = texts.mapInArrow(count, schema)
     left = texts.rdd.getNumPartitions()
     while left > 1:
         left = -(-left // 64)
         parts = parts.groupBy("block", (F.pmod("src", F.lit(left))).alias("g")).applyInPandas(add, schema)
-    table, docs = np.zeros(CELLS, dtype=np.int64), 0
+    table = np.zeros(CELLS, dtype=np.int64)
     for r in parts.collect():  # 16 blocks
         table[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(r["data"]), dtype=np.int64)
-        docs = r["docs"]
-    return table, docs
+    return table
 
 
-def _first_of_class(cls: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Places of the first passage of every class that this task has not met; ``seen`` grows with the task's part only."""
-    _, first = np.unique(cls, return_index=True)
-    first.sort()
-    fresh = [i for i, c in zip(first.tolist(), cls[first].tolist(), strict=True) if c not in seen]
-    seen.update(cls[fresh].tolist())
-    return np.array(fresh, dtype=np.int64)
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """How many levels of the tree to split off before the shuffle, for each cell: a level leaves about 0.4 of a shard's classes together."""
+    over = np.maximum(1.0, (counts - counts.mean()) / HOT)
+    return np.minimum(8, np.ceil(np.log(over) / np.log(2.5))).astype(np.int8)
+
+
+def split_keys(keys: np.ndarray, sketch: np.ndarray, levels: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)``: the shards of each row. A hot key's rows go down its ``levels``, to the edge at their sketch's distance from a
+    virtual root and to the ``radius`` edges below it; two rows within the radius of each other thus meet on every level."""
+    row, out, level = np.arange(len(keys)), keys, 0
+    while (deep := levels[row] > level).any():
+        k, s = out[deep], sketch[row[deep]]
+        d = np.bitwise_count((mix(k + np.uint64(level)) & _LOW) ^ s).astype(np.int64)
+        moved = [mix(k ^ ((d - o + 1 + (level << 8)).astype(np.uint64) << np.uint64(20))) & ~_LOW for o in range(radius + 1)]
+        row = np.concatenate((row[~deep], *[row[deep]] * (radius + 1)))
+        out = np.concatenate((out[~deep], *moved))
+        level += 1
+    return row, out
 
 
-def _own_runs(first: np.ndarray, count: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(runs, first)`` of the kept rows alone."""
-    owned = np.zeros(len(runs) + 1, dtype=np.int32)
-    np.add.at(owned, first, 1)
-    np.add.at(owned, first + count, -1)
-    return runs[np.cumsum(owned[:-1]) > 0], np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)
+def shard_rows(texts: DataFrame, width: int, min_runs: int, counts: np.ndarray) -> DataFrame:
+    """``(k, cls)``: a row for each band of each class; k has the shard key and, in its low bits, the sketch. A task sends a class once."""
+    levels = texts.sparkSession.sparkContext.broadcast(levels_of(counts))  # CELLS bytes, whatever the collection
 
+    def emit(ids, cls, runs, at, count, seen):
+        fresh = _first_of_class(cls[:, 0], seen)
+        if not len(fresh):
+            return [pa.array([], pa.int64())] * 2
+        own = _own(fresh, runs, at, count)
+        keys = _keys(*own)
+        third = _minima(own[0], own[1], range(2 * BANDS, 3 * BANDS))
+        sketch = np.stack([third[2 * BANDS + j] & _LOW for j in range(BANDS)]).reshape(-1)
+        row, key = split_keys(keys.reshape(-1), sketch, levels.value[_cell(keys)].reshape(-1))
+        return [pa.array((key | sketch[row]).view(np.int64)), pa.array(np.tile(cls[fresh, 0], BANDS)[row].view(np.int64))]
 
-def _minima(used: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The first ``n`` min-hashes of each row, 32 bits each."""
-    h = mix(used)
-    sig = np.empty((n, len(at)), dtype=np.uint64)
-    for k in range(n):
-        u = (h * _SEEDS[k, 0] + _SEEDS[k, 1]) >> np.uint64(32)
-        sig[k] = mix(np.minimum.reduceat(u, at)) >> np.uint64(32)
-    return sig
+    return _each(texts, width, min_runs, emit, "k bigint, cls bigint")
 
 
-def _classes(used: np.ndarray, at: np.ndarray, count: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """The class of each row: its sketch in the low 40 bits, a hash of its set of runs in the others.
+class Forest:
+    """BK-trees over sketches under integer Hamming distance, many at once: ``tree`` numbers the trees from 0, ascending; sketches of a tree differ.
 
-    Two sets fall together only if their sketches and 24 more bits agree.
+    Trees are built level by level: the first sketch of a subtree is its root, and the others hang at the edge of their distance to it.
     """
-    cls = (mix(np.add.reduceat(mix(used), at) ^ count.astype(np.uint64)) >> np.uint64(2 * SYMBOLS)) << np.uint64(2 * SYMBOLS)
-    for k in range(SYMBOLS):
-        cls |= (sig[k] & np.uint64(3)) << np.uint64(2 * k)
-    return cls.view(np.int64)
 
+    def __init__(self, tree: np.ndarray, sketch: np.ndarray) -> None:
+        self.tree, self.sketch, self.visits = tree, sketch, 0
+        wide = SYMBOLS + 1
+        node, sub, n = np.arange(len(tree)), tree.astype(np.int64), int(tree[-1]) + 1 if len(tree) else 0
+        roots, children, self.first = [], [], 0
+        base = 0
+        while len(node):
+            start = np.flatnonzero(np.concatenate(([True], sub[1:] != sub[:-1])))
+            roots.append(node[start])
+            place = np.cumsum(np.concatenate(([0], sub[1:] != sub[:-1])))
+            table = np.full(len(start) * wide, -1, dtype=np.int64)
+            rest = np.ones(len(node), dtype=bool)
+            rest[start] = False
+            node, place, root = node[rest], place[rest], node[start][place[rest]]
+            edge = place * wide + np.bitwise_count(sketch[node] ^ sketch[root])
+            order = np.argsort(edge, kind="stable")
+            node, edge = node[order], edge[order]
+            base += len(start)
+            found = np.unique(edge)
+            table[found] = base + np.arange(len(found))
+            children.append(table)
+            sub = edge
+        self.roots = np.concatenate(roots) if roots else np.zeros(0, np.int64)
+        self.children = np.concatenate(children) if children else np.zeros(0, np.int64)
+        self.sizes = np.bincount(tree, minlength=n)
+
+    def within(self, radius: int = RADIUS, step: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (p, q), p < q, of sketches of a tree within ``radius``: every sketch looks its tree up; by the triangle inequality
+        edges further than the radius from its own distance to a node lead to none and are not followed."""
+        load, wide = np.cumsum(self.sizes[self.tree]), SYMBOLS + 1
+        at = 0
+        while at < len(self.tree):
+            to = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + step)))
+            q = np.arange(at, to)
+            sub = self.tree[q].astype(np.int64)
+            while len(q):
+                self.visits += len(q)
+                root = self.roots[sub]
+                d = np.bitwise_count(self.sketch[q] ^ self.sketch[root]).astype(np.int64)
+                hit = (d <= radius) & (q < root)
+                yield q[hit], root[hit]
+                near = []
+                for o in range(-radius, radius + 1):
+                    ok = (d + o > 0) & (d + o <= SYMBOLS)
+                    child = self.children[sub[ok] * wide + d[ok] + o]
+                    near.append((q[ok][child >= 0], child[child >= 0]))
+                q, sub = np.concatenate([x for x, _ in near]), np.concatenate([x for _, x in near])
+            at = to
 
-def _each(texts: DataFrame, width: int, min_runs: int, hashes: int, emit, schema: str) -> DataFrame:
-    """``emit(doc_ids, cls, sig, used, at, count, seen)`` on every batch."""
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in it:
-            ids, first, count, runs = _sets(b, width, min_runs)
-            if len(ids):
-                used, at = _own_runs(first, count, runs)
-                sig = _minima(used, at, hashes)
-                yield pa.RecordBatch.from_arrays(emit(ids, _classes(used, at, count, sig), sig, used, at, count, seen), names=names)
+def shard_pairs(k: np.ndarray, cls: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """``(a, b, kind)`` from whole shards, sorted by k: 0 candidate pairs, 1 members (class, node) of large nodes, 2 pairs of nodes of which one is large."""
+    u = k.view(np.uint64)
+    cuts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1], [True])))
+    start, size = cuts[:-1], np.diff(cuts)
+    key = u[start] >> np.uint64(SYMBOLS)
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    lone = new & np.concatenate((new[1:], [True]))  # shards of one node
+    keep = ~lone | (size > 1)
+    start, size, new = start[keep], size[keep], new[keep]
+    if not len(start):
+        return
+    forest = Forest(np.cumsum(new) - 1, u[start] & _LOW)
+    own = np.flatnonzero(size > 1)
+    large = np.zeros(len(start), dtype=bool)
+    for p, q in [(own, own), *forest.within(radius)]:
+        big = size[p] * size[q] > PART * PART
+        if big.any():
+            large[p[big]] = large[q[big]] = True
+            yield k[start[p[big]]], k[start[q[big]]], 2
+            p, q = p[~big], q[~big]
+        n = size[p] * size[q]
+        done = np.cumsum(n)
+        at = 0
+        while at < len(p):
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 22))))
+            m = n[at:to]
+            link = np.repeat(np.arange(at, to), m)
+            i = np.arange(len(link)) - np.repeat(np.cumsum(m) - m, m)
+            x, y = start[p[link]] + i // size[q[link]], start[q[link]] + i % size[q[link]]
+            a, b = cls[x], cls[y]
+            ok = (a != b) & ((p[link] != q[link]) | (x < y))
+            yield np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok]), 0
+            at = to
+    for i in np.flatnonzero(large).tolist():
+        yield cls[start[i] : start[i] + size[i]], np.full(size[i], k[start[i]]), 1
 
-    return texts.mapInArrow(run, schema)
 
+def expand(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``(x, y)``, x <> y: the members of both ends of the links ``(a, b)``, where members are ``(id, cls)``; of a link to itself each pair once.
 
-def memberships(texts: DataFrame, width: int, min_runs: int) -> DataFrame:
-    """``(doc_id, cls)``: the class of every passage, which stands for its set of runs."""
-    emit = lambda ids, cls, *_: [pa.array(ids, pa.int64()), pa.array(cls)]
-    return _each(texts, width, min_runs, SYMBOLS, emit, "doc_id bigint, cls bigint")
-
-
-def band_keys(texts: DataFrame, width: int, min_runs: int) -> DataFrame:
-    """``(key, cls)``: a row for each band of the min-hashes of each class. A task sends a class once, so copies are combined before the shuffle."""
-
-    def emit(ids, cls, sig, used, at, count, seen):
-        fresh = _first_of_class(cls, seen)
-        keys = np.empty((BANDS, len(fresh)), dtype=np.uint64)
-        for j in range(BANDS):
-            x = _SALTS[j : j + 1]
-            for r in range(ROWS):
-                x = mix(x + sig[ROWS * j + r, fresh])
-            keys[j] = x
-        return [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(cls[fresh], BANDS))]
-
-    return _each(texts, width, min_runs, BANDS * ROWS, emit, "key bigint, cls bigint")
-
-
-def distance(a: int, b: int) -> int:
-    """Symbols of two bits in which two sketches differ."""
-    x = a ^ b
-    return ((x | (x >> 1)) & _PAIRS).bit_count()
-
-
-class BKTree:
-    """Sketches under integer Hamming distance; equal sketches share a node."""
-
-    def __init__(self) -> None:
-        self.root: tuple[int, list[int], dict] | None = None
-
-    def add(self, sketch: int, item: int) -> None:
-        if self.root is None:
-            self.root = (sketch, [item], {})
-            return
-        node = self.root
-        while d := distance(sketch, node[0]):
-            child = node[2].get(d)
-            if child is None:
-                node[2][d] = (sketch, [item], {})
-                return
-            node = child
-        node[1].append(item)
-
-    def within(self, sketch: int, radius: int) -> Iterator[int]:
-        """Items whose sketch is within ``radius``; by the triangle inequality other edges lead to none."""
-        stack = [self.root] if self.root else []
-        while stack:
-            node = stack.pop()
-            d = distance(sketch, node[0])
-            if d <= radius:
-                yield from node[1]
-            for edge, child in node[2].items():
-                if d - radius <= edge <= d + radius:
-                    stack.append(child)
-
-
-def tree_pairs(classes: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Pairs (smaller, larger) of the classes of a shard whose sketches are within the radius."""
-    tree = BKTree()
-    for c in classes:
-        for other in tree.within(c & SKETCH, radius):
-            yield (c, other) if c < other else (other, c)
-        tree.add(c & SKETCH, c)
-
-
-def candidates(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)``, a < b, of classes that share a shard and lie within the radius.
-
-    Rows of a key stand together in a partition sorted by key and class; its tree is built there, unless the key holds more than
-    SHARD rows: these come out as they are, are dealt to sub-shards of that size, and every pair of sub-shards is a task of its own.
+    The members of a large group are dealt to parts of PART, and each pair of parts is a group of its own.
+    """
+    sized = members.groupBy("cls").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    large = sized.where(F.col("n") > PART).select("cls", parts.alias("s"))
+    dealt = members.join(large, "cls", "left").select("id", "cls", F.when(F.col("s").isNotNull(), F.pmod(F.xxhash64("id"), F.col("s"))).otherwise(0).cast("int").alias("i"))
+    each = lambda s: F.explode(F.sequence(F.lit(0), F.coalesce(s, F.lit(1)) - 1))
+    left = links.join(large.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a", "left").join(large.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b", "left")
+    tasks = left.select("a", "b", "sb", each(F.col("sa")).alias("ia")).select("a", "b", "ia", each(F.col("sb")).alias("ib"))
+    first = tasks.join(dealt.select(F.col("id").alias("x"), F.col("cls").alias("a"), F.col("i").alias("ia")), ["a", "ia"])
+    both = first.join(dealt.select(F.col("id").alias("y"), F.col("cls").alias("b"), F.col("i").alias("ib")), ["b", "ib"])
+    return both.where("(a <> b and x <> y) or x < y").select("x", "y")
+
+
+def candidates(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct candidate pairs ``(a, b)``, a < b, of classes that lie within the radius in a shard of ``rows(k, cls)``.
+
+    Rows of a key stand together in a partition that is sorted by key and sketch; its tree is built there. Nodes with many
+    members, whose pairs are all candidates, come out as they are and are expanded by several tasks.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(0, np.int64)
-        rest, large = (empty, empty), None  # the last group so far; the key of a group that is being passed on
-
-        def out(a: list[int], b: list[int], key: np.ndarray = empty, cls: np.ndarray = empty) -> pa.RecordBatch:
-            cols = [np.concatenate((np.array(a, np.int64), cls)), np.concatenate((np.array(b, np.int64), key)), np.concatenate((np.zeros(len(a), bool), np.ones(len(key), bool)))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "hot"])
-
-        def work(key: np.ndarray, cls: np.ndarray, final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal rest, large
-            key, cls = np.concatenate((rest[0], key)), np.concatenate((rest[1], cls))
-            if not len(key):
-                return
-            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            last = len(cuts) - 1 if final else len(cuts) - 2
-            left: list[int] = []
-            right: list[int] = []
-            sizes = np.diff(cuts[: last + 1])
-            for g in np.flatnonzero((sizes > 1) | (key[cuts[:last]] == large if large is not None else False)):
-                lo, hi = cuts[g], cuts[g + 1]
-                if hi - lo > SHARD or key[lo] == large:
-                    yield out([], [], key[lo:hi], cls[lo:hi])
-                    continue
-                for p, q in tree_pairs(np.unique(cls[lo:hi]).tolist(), radius):
-                    left.append(p)
-                    right.append(q)
-            if left:
-                yield out(left, right)
-            lo = cuts[last]
-            if not final and (len(key) - lo > SHARD or key[lo] == large):
-                large = key[lo]
-                yield out([], [], key[lo:], cls[lo:])
-                lo = len(key)
-            rest = (key[lo:], cls[lo:])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows_held = 0
+
+        def work(k: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+            once = np.concatenate(([True], (k[1:] != k[:-1]) | (cls[1:] != cls[:-1])))  # a class comes once from each task
+            k, cls = k[once], cls[once]
+            for a, b, kind in shard_pairs(k, cls, radius):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
+
+        for x in it:
+            k, cls = x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)
+            held.append((k, cls))
+            rows_held += len(k)
+            if rows_held < 1 << 18:
+                continue
+            k, cls = (np.concatenate(c) for c in zip(*held, strict=True))
+            cut_at = int(np.searchsorted(k >> SYMBOLS, k[-1] >> SYMBOLS))  # the last key may go on
+            if cut_at:
+                yield from work(k[:cut_at], cls[:cut_at])
+            held, rows_held = [(k[cut_at:], cls[cut_at:])], len(k) - cut_at
+        if rows_held:
+            yield from work(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-        for b in it:
-            yield from work(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), False)
-        yield from work(empty, empty, True)
-
-    ordered = keys.repartition("key").sortWithinPartitions("key", "cls")
-    found = cut(ordered.mapInArrow(run, "a bigint, b bigint, hot boolean"))
-    pairs = found.where("not hot").select("a", "b")
-    hot = found.where("hot").select(F.col("b").alias("key"), F.col("a").alias("cls")).distinct()
-    parts = F.ceil(F.col("n") / SHARD).cast("int")
-    dealt = hot.join(hot.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "cls", parts.alias("s"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("i"))
-    lower = F.transform(F.sequence(F.lit(0), F.col("i")), lambda j: F.struct(j.alias("p"), F.col("i").alias("q")))
-    higher = F.transform(F.sequence(F.col("i"), F.col("s") - 1), lambda j: F.struct(F.col("i").alias("p"), j.alias("q")))
-    tasks = dealt.select("key", "cls", "i", F.explode(F.array_distinct(F.concat(lower, higher))).alias("t")).select("key", "cls", "i", "t.p", "t.q")
-
-    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        if p == q:
-            rows = list(tree_pairs(pdf["cls"].tolist(), radius))
-        else:
-            tree = BKTree()
-            for c in pdf.loc[pdf["i"] == p, "cls"].tolist():
-                tree.add(c & SKETCH, c)
-            rows = [(min(c, o), max(c, o)) for c in pdf.loc[pdf["i"] == q, "cls"].tolist() for o in tree.within(c & SKETCH, radius)]
-        return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
-
-    far = tasks.groupBy("key", "p", "q").applyInPandas(cross, "a bigint, b bigint")
-    return pairs.unionByName(far).distinct()
+    ordered = rows.repartition(F.shiftright("k", SYMBOLS)).sortWithinPartitions("k", "cls")
+    found = cut(ordered.mapInArrow(run, "a bigint, b bigint, kind int"))
+    members = found.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("cls")).distinct()
+    more = expand(found.where("kind = 2").select("a", "b").distinct(), members)
+    return found.where("kind = 0").select("a", "b").unionByName(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def _positions(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -313,120 +373,26 @@ def _unpack_runs(data: np.ndarray) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-def holders(texts: DataFrame, width: int, min_runs: int, share: float, counts: np.ndarray) -> DataFrame:
-    """``(key, cls, meta, b0, b1, b2, b3)``: a row for each run of each class, with a bitmap of 256 bits of all its runs.
-
-    meta has the class's number of runs (bits 30 to 58) and how many of them are not before this one in the order of the counts (bits 0 to 29),
-    bit 59 for a hot run, bit 60 for a run that is looked up, bit 61 for rows that are only that. A hot run's classes are dealt to several keys and
-    its lookups go to each of them.
-    """
-    cells, per = texts.sparkSession.sparkContext.broadcast(counts.astype(np.int32)), round(share * 1000)  # CELLS numbers, whatever the collection
-
-    def emit(ids, cls, sig, used, at, count, seen):
-        fresh = np.zeros(len(cls), dtype=bool)
-        fresh[_first_of_class(cls, seen)] = True
-        h = mix(used) >> np.uint64(56)
-        bit = np.uint64(1) << (h & np.uint64(63))
-        maps = [np.bitwise_or.reduceat(np.where(h >> np.uint64(6) == w, bit, np.uint64(0)), at).view(np.int64) for w in range(4)]
-        row = np.repeat(np.arange(len(cls)), count)
-        kept = fresh[row]
-        row, run = row[kept], used[kept]
-        cell = cells.value[(run & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.int64)
-        o = np.lexsort((run, cell, row))
-        row, run, cell = row[o], run[o].astype(np.int64), cell[o]
-        size = count[row].astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
-        pos = np.arange(len(row)) - np.repeat(first, count[fresh])
-        probe = pos <= size - (per * size + 999) // 1000
-        meta = (size << 30) | (size - pos)
-        salts = np.minimum(cell // HOT + 1, 8191)
-        hot = salts > 1
-        salt = np.where(hot, (mix(cls.view(np.uint64))[row] >> np.uint64(1)).astype(np.int64) % salts, 0)
-        many = np.flatnonzero(hot & probe)
-        again = np.repeat(many, salts[many])
-        turn = np.arange(len(again)) - np.repeat(np.cumsum(salts[many]) - salts[many], salts[many])
-        key = np.concatenate((run | (salt << RUN_BITS), run[again] | (turn << RUN_BITS)))
-        meta = np.concatenate((meta | (hot.astype(np.int64) << 59) | ((probe & ~hot).astype(np.int64) << 60), meta[again] | (7 << 59)))
-        row = np.concatenate((row, row[again]))
-        return [pa.array(key), pa.array(cls[row]), pa.array(meta), *(pa.array(x[row]) for x in maps)]
-
-    return _each(texts, width, min_runs, SYMBOLS, emit, "key bigint, cls bigint, meta bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
-
-
-def contained(rows: DataFrame, share: float) -> DataFrame:
-    """Candidate pairs ``(a, b)``, a < b, from the rows of ``holders``; every pair of classes with ``share`` of the runs of either in common is among them.
-
-    A pair is left out only where that is certain: too few runs are left in the longer class from the looked-up run on, or more runs
-    of the shorter are missing in the other's bitmap than a case may lack.
-    """
-    per, step = round(share * 1000), 1 << 20  # pairs looked at together
-
-    def look(t: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, cls, meta = t[0], t[1], t[2]
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        held = np.add.reduceat((meta >> 61 == 0).astype(np.int64), cuts[:-1])  # they stand first
-        probe = np.flatnonzero(((meta >> 60) & 1 == 1) & (held[group] > ((meta >> 61) == 0)))
-        size, rest = (meta >> 30) & ((1 << 29) - 1), meta & ((1 << 30) - 1)
-        need = (per * size + 999) // 1000
-        total = np.cumsum(held[group[probe]])
-        at = 0
-        while at < len(probe):
-            done = total[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(total, done + step)))
-            p = probe[at:to]
-            n = held[group[p]]
-            x = np.repeat(p, n)
-            y = np.repeat(cuts[group[p]], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            ok = (size[x] <= size[y]) & (rest[y] >= need[x]) & (cls[x] != cls[y])
-            x, y = x[ok], y[ok]
-            lack = np.zeros(len(x), dtype=np.int64)
-            for w in range(3, 7):
-                lack += np.bitwise_count((t[w][x] & ~t[w][y]).view(np.uint64))
-            ok = lack <= size[x] - need[x]
-            x, y = cls[x[ok]], cls[y[ok]]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-            at = to
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((7, 0), dtype=np.int64)
-        for b in it:
-            t = np.concatenate((rest, [c.to_numpy(zero_copy_only=False) for c in b.columns]), axis=1)
-            if not t.shape[1]:
-                continue
-            last = int(np.searchsorted(t[0], t[0, -1]))  # the last key may go on in the next batch
-            if last:
-                yield from look(t[:, :last])
-            rest = t[:, last:]
-            if (rest[2, 0] >> 59) & 1:  # of a hot run only the classes that hold it are kept
-                yield from look(rest)
-                rest = rest[:, rest[2] >> 61 == 0]
-        if rest.shape[1]:
-            yield from look(rest)
-
-    return rows.repartition("key").sortWithinPartitions("key", "meta").mapInArrow(run, "a bigint, b bigint")
-
 
 def runs_of(texts: DataFrame, wanted: np.ndarray, width: int, min_runs: int) -> DataFrame:
-    """``(cls, runs)`` of the classes that may be in the Bloom filter: their sorted runs, six bytes each; a task sends a class once."""
+    """``(id, cls, runs)`` of the classes that may be in the Bloom filter, by the first word of their names: their sorted runs, six bytes each; a task sends a class once."""
     packed, bits = texts.sparkSession.sparkContext.broadcast(wanted), 8 * len(wanted)  # 8 MB at most
 
-    def emit(ids, cls, sig, used, at, count, seen):
-        hit = np.ones(len(cls), dtype=bool)
-        for p in _positions(cls, bits):
+    def emit(ids, cls, runs, at, count, seen):
+        hit, first = np.ones(len(cls), dtype=bool), cls[:, 0].view(np.int64)
+        for p in _positions(first, bits):
             hit &= (packed.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
         take = np.flatnonzero(hit)
-        take = take[_first_of_class(cls[take], seen)] if len(take) else take
-        return [pa.array(cls[take]), pa.array([_pack_runs(used[at[i] : at[i] + count[i]]) for i in take.tolist()], pa.binary())]
+        take = take[_first_of_class(cls[take, 0], seen)] if len(take) else take
+        return [pa.array(first[take]), _binary(cls[take]), pa.array([_pack_runs(runs[at[i] : at[i] + count[i]]) for i in take.tolist()], pa.binary())]
 
-    return _each(texts, width, min_runs, SYMBOLS, emit, "cls bigint, runs binary").dropDuplicates(["cls"])
+    return _each(texts, width, min_runs, emit, "id bigint, cls binary, runs binary").dropDuplicates(["id", "cls"])
 
 
 def verified(pairs: DataFrame, runs: DataFrame, share: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose common runs are at least ``share`` of the runs of either."""
-    sided = pairs.join(runs.select(F.col("cls").alias("b"), F.col("runs").alias("rb")), "b")
-    both = sided.join(runs.select(F.col("cls").alias("a"), F.col("runs").alias("ra")), "a").select("a", "b", "ra", "rb")
+    """``(a, b)``, classes, of the pairs whose common runs are at least ``share`` of the runs in either or both."""
+    side = lambda k: runs.select(F.col("id").alias(k), F.col("cls").alias(f"c{k}"), F.col("runs").alias(f"r{k}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("ca", "cb", "ra", "rb")
     per = round(share * 1000)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,10 +402,11 @@ def verified(pairs: DataFrame, runs: DataFrame, share: float) -> DataFrame:
                 p, q = (_unpack_runs(np.frombuffer(v.as_buffer(), dtype=np.uint8)) for v in (x, y))
                 z = np.concatenate((p, q))
                 z.sort()
-                keep.append(int(np.count_nonzero(z[1:] == z[:-1])) * 1000 >= per * min(len(p), len(q)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                common = int(np.count_nonzero(z[1:] == z[:-1]))
+                keep.append(common * 1000 >= per * (len(z) - common))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def prepared(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -447,18 +414,19 @@ def prepared(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def class_pairs(table: DataFrame, id_col: str, text_col: str, width: int = 5, share: float = 0.8, min_runs: int = 1) -> tuple[DataFrame, DataFrame]:
-    """``(members, links)``: members (doc_id, cls) of the classes with equal sets of runs, links (a, b) between classes.
+    """``(members, links)``: members (id, cls) of the classes with equal sets of runs, links (a, b) between classes.
 
-    A link joins two classes whose common runs are at least ``share`` of the runs of either. Passages with fewer than
+    A link joins two classes whose common runs are at least ``share`` of the runs in either or both. Passages with fewer than
     ``min_runs`` distinct runs, null or blank ones among them, are in no class. Null ids are dropped; several rows of one id
     are as many passages, which are never paired with each other. Other columns are ignored; an empty table gives empty results.
     """
     texts = prepared(table, id_col, text_col)
-    counts = run_counts(texts, width, min_runs)[0]
-    looked_up = contained(holders(texts, width, min_runs, share, counts), share)
-    pairs = cut(candidates(band_keys(texts, width, min_runs)).unionByName(looked_up).distinct())
+    counts = key_counts(texts, width, min_runs)
+    pairs = cut(candidates(shard_rows(texts, width, min_runs, counts)))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    links = cut(verified(pairs, cut(runs_of(texts, bloom(ends), width, min_runs)), share))
+    runs = cut(runs_of(texts, bloom(ends), width, min_runs))
+    links = cut(verified(pairs, runs, share))
+    release(pairs, runs)
     return memberships(texts, width, min_runs), links
 
 
@@ -469,11 +437,8 @@ def duplicate_pairs(table: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     members, links = class_pairs(table, id_col, text_col, width, share, min_runs)
     members = cut(members)
-    x = members.select(F.col("doc_id").alias("x"), F.col("cls").alias("a"))
-    y = members.select(F.col("doc_id").alias("y"), F.col("cls").alias("b"))
-    between = links.join(x, "a").join(y, "b").where("x <> y").select("x", "y")
-    within = x.join(y, F.col("a") == F.col("b")).where("x < y").select("x", "y")
-    both = between.unionByName(within)
+    own = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    both = expand(links.unionByName(own), members)
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
@@ -489,11 +454,13 @@ def components(links: DataFrame) -> DataFrame:
     seen = digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        hubs = heavy_keys(low, "u", "n")
+        large = skew_join(both, low.drop("n"), "u", hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = skew_join(large, least, "u", hubs).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = cut(small.select("e.u", "e.v").where("u <> v").distinct())
+        release(edges, low)
         edges, last, seen = after, seen, digest(after)
         if seen == last:
             break
@@ -509,7 +476,7 @@ def duplicate_groups(table: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     ids = table.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-    placed = members.join(groups.select(F.col("doc_id").alias("cls"), "group"), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+    placed = members.withColumnRenamed("id", "doc_id").join(groups.select(F.col("doc_id").alias("cls"), "group"), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
     names = placed.groupBy("group").agg(F.min("doc_id").alias("name"))
     out = ids.join(placed.join(names, "group").join(degree, "cls", "left").dropDuplicates(["doc_id"]), "doc_id", "left")
     return out.select("doc_id", F.coalesce("name", "doc_id").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

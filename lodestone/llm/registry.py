@@ -36,7 +36,7 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of passages with at least 10 runs of three tokens each, of which one shares 0.6 of its runs with the other."""
+    """Pairs of passages with at least 10 runs of three tokens each, of which 0.6 of the runs in either or both are common."""
     return near_duplicates.duplicate_pairs(read_table(spark, d, "passage_collection"), "doc_id", "passage_text", width=3, share=0.6, min_runs=10)
 
 

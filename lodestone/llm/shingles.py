@@ -66,6 +66,10 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def run_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """``(row, hash)`` of the distinct runs of ``width`` successive tokens, sorted by row and hash (50 bits)."""
+    most = (1 << ROW_BITS) - 1
+    if len(texts) > most:  # row numbers are packed beside the hashes
+        done = [(k, run_sets(texts[k : k + most], width)) for k in range(0, len(texts), most)]
+        return np.concatenate([r + k for k, (r, _) in done]), np.concatenate([h for _, (_, h) in done])
     row, tok = token_hashes(texts)
     if len(row) < width:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
@@ -75,8 +79,6 @@ def run_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         h = mix(h) + tok[j : j + m] * _ODD[j % 6]
     h = mix(h)
     whole = row[:m] == row[width - 1 :]
-    if len(texts) >= 1 << ROW_BITS:
-        raise ValueError("an Arrow batch may have 16383 rows at most")
     packed = (row[:m][whole].astype(np.uint64) << np.uint64(HASH_BITS)) | (h[whole] >> np.uint64(64 - HASH_BITS))
     packed.sort()
     if len(packed):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows
@@ -18,7 +19,7 @@ def runs(text, width):
 
 def brute(data, width, share, least):
     sets = [(i, s) for i, t in data if len(s := runs(t, width)) >= least]
-    return {(min(a, b), max(a, b)) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if a != b and len(s & t) >= share * min(len(s), len(t))}
+    return {(min(a, b), max(a, b)) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if a != b and len(s & t) >= share * len(s | t) - 1e-9}
 
 
 def corpus(n=60, seed=5):
@@ -102,43 +103,71 @@ def test_a_third_of_the_rows_are_edited_copies(spark):
     assert len({r["group"] for r in nd.duplicate_groups(df, width=3, share=0.6, min_runs=10).collect()}) == 241
 
 
-@pytest.mark.parametrize("hot", [nd.HOT, 3])
-def test_short_passages_within_long_ones(spark, monkeypatch, hot):
-    monkeypatch.setattr(nd, "HOT", hot)
-    rng = random.Random(4)
-    words = [f"w{i}" for i in range(3000)]
-    long = [rng.choices(words, k=rng.randint(150, 400)) for _ in range(30)]
-    data = [(i, " ".join(w)) for i, w in enumerate(long)]
-    for k in range(60):  # excerpts of 3 to 15 % of a long passage, some with own words after them, and a run that many hold
-        w = long[k % 30]
-        n = rng.randint(14, 24)
-        at = rng.randrange(len(w) - n)
-        data.append((100 + k, " ".join([*w[at : at + n], *(f"own{k}x{j}" for j in range(k % 7)), "seen", "very", "often"])))
+def test_excerpts_are_no_cases(spark):
+    words = [f"w{i}" for i in range(100)]
+    data = [(1, " ".join(words)), (2, " ".join(words[:40])), (3, " ".join(words[:64])), (4, " ".join(words[:60]))]  # 38, 62 and 58 of 98 runs
     df = spark.createDataFrame(data, "doc_id bigint, text string")
-    want = brute(data, 3, 0.6, 10)
-    assert len(want) >= 55 and rows(nd.duplicate_pairs(df, width=3, share=0.6, min_runs=10)) == sorted(want)
+    assert rows(nd.duplicate_pairs(df, width=3, share=0.6, min_runs=10)) == sorted(brute(data, 3, 0.6, 10)) == [(1, 3), (2, 3), (2, 4), (3, 4)]
 
 
-def test_large_shards_are_split(spark, monkeypatch):
-    monkeypatch.setattr(nd, "SHARD", 8)
+def sketch_pairs(sketches, radius=nd.RADIUS):
+    return {(i, j) for j, q in enumerate(sketches) for i, p in enumerate(sketches[:j]) if (p ^ q).bit_count() <= radius}
+
+
+def test_trees_find_all_within_the_radius():
+    rng = np.random.default_rng(1)
+    trees = [np.unique(rng.integers(0, 1 << nd.SYMBOLS, size=n, dtype=np.uint64)) for n in (1, 2, 40, 300)]
+    tree = np.repeat(np.arange(4), [len(x) for x in trees])
+    for radius in (0, 1, 3):
+        forest = nd.Forest(tree, np.concatenate(trees))
+        got = [(int(a), int(b)) for p, q in forest.within(radius, step=5000) for a, b in zip(np.minimum(p, q), np.maximum(p, q), strict=True)]
+        first = np.cumsum([0, *[len(x) for x in trees]])
+        want = {(a + f, b + f) for x, f in zip(trees, first, strict=False) for a, b in sketch_pairs(x.tolist(), radius)}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trees_leave_out_most_nodes():
+    sketches = np.random.default_rng(2).permutation(1 << nd.SYMBOLS)[:2000].astype(np.uint64)
+    forest = nd.Forest(np.zeros(2000, np.int64), sketches)
+    found = sum(len(p) for p, _ in forest.within())
+    assert found and forest.visits < 0.05 * 2000 * 2000
+
+
+@pytest.mark.parametrize("part", [nd.PART, 3])
+def test_candidates(spark, monkeypatch, part):
+    """All pairs of a shard within the radius, also where nodes are large; a shard's copies from several tasks count once."""
+    monkeypatch.setattr(nd, "PART", part)
     rng = random.Random(2)
-    classes = [(7, rng.getrandbits(62)) for _ in range(60)] + [(8, 5), (8, 6), (9, 1)]
-    keys = spark.createDataFrame(classes, "key bigint, cls bigint")
-    hot = [c for k, c in classes if k == 7]
-    want = {(min(a, b), max(a, b)) for i, a in enumerate(hot) for b in hot[:i] if nd.distance(a & nd.SKETCH, b & nd.SKETCH) <= nd.RADIUS} | {(5, 6)}
-    assert set(rows(nd.candidates(keys))) == want
-
-
-def test_tree_finds_all_within_the_radius():
-    rng = random.Random(1)
-    pool = [rng.getrandbits(40) for _ in range(200)]
-    pool += [p ^ (1 << rng.randrange(40)) for p in pool[:50]]
-    tree = nd.BKTree()
-    for i, p in enumerate(pool):
-        tree.add(p, i)
-    for q in pool[:40]:
-        for radius in (0, 2, 9):
-            assert sorted(tree.within(q, radius)) == [i for i, p in enumerate(pool) if nd.distance(p, q) <= radius]
+    data = [(key << nd.SYMBOLS | rng.choice([5, 7, 15, 1024, 1025, 60000]), c) for key in (-3, 4, 9) for c in rng.sample(range(1000), 40)]
+    df = spark.createDataFrame([*data, *data[:30]], "k bigint, cls bigint")
+    want = {(min(a, b), max(a, b)) for i, (k, a) in enumerate(data) for m, b in data[:i] if a != b and k >> nd.SYMBOLS == m >> nd.SYMBOLS and ((k ^ m) & 0xFFFF).bit_count() <= nd.RADIUS}
+    assert rows(nd.candidates(df)) == sorted(want)
+
+
+def test_hot_shards_are_split_before_the_shuffle():
+    rng = np.random.default_rng(3)
+    keys = np.full(5000, 77 << nd.SYMBOLS, dtype=np.uint64)
+    sketch = rng.integers(0, 1 << nd.SYMBOLS, size=5000, dtype=np.uint64)
+    sketch[:2] = (4, 6)
+    row, key = nd.split_keys(keys, sketch, np.full(5000, 3, np.int8))
+    assert len(row) == 8 * 5000
+    shards = {k: set(row[key == k].tolist()) for k in np.unique(key).tolist()}
+    assert max(map(len, shards.values())) < 0.25 * 5000
+    together = lambda a, b: any(a in s and b in s for s in shards.values())
+    assert together(0, 1) and all(together(i, i + 1) for i in range(200) if int(sketch[i] ^ sketch[i + 1]).bit_count() <= 1)
+    counts = np.zeros(nd.CELLS, np.int64)
+    counts[:3] = nd.HOT // 2, 2 * nd.HOT, 100 * nd.HOT
+    assert nd.levels_of(counts)[:4].tolist() == [0, 1, 6, 0]
+
+
+@pytest.mark.parametrize("part", [nd.PART, 2])
+def test_expand(spark, monkeypatch, part):
+    monkeypatch.setattr(nd, "PART", part)
+    members = [(i, i % 3) for i in range(20)]
+    links = spark.createDataFrame([(0, 1), (2, 2)], "a int, b int")
+    got = {(min(r), max(r)) for r in rows(nd.expand(links, spark.createDataFrame(members, "id bigint, cls int")))}
+    want = {(min(x, y), max(x, y)) for x, a in members for y, b in members if (a, b) == (0, 1) or (a == b == 2 and x < y)}
+    assert got == want
 
 
 def test_components(spark):
