@@ -2,14 +2,17 @@
 
 1. Passages with the same set of runs form a class (128 bits of hash); one of them stands for it from here on.
 2. A class gets BANDS triples of min-hashes of its runs, all of which weigh the same: in a group of edited copies the runs that all share
-   decide. The first two of a triple are a shard key, the third gives a short sketch of SYMBOLS bits.
+   decide. A band deals the runs to three parts, and each part has a min-hash, so no run decides twice. The first two of a triple are
+   a shard key, the third gives a short sketch of SYMBOLS bits.
 3. In every shard a BK-tree is built over the sketches. A child hangs under its parent at the integer Hamming distance of their sketches;
-   a search follows only the edges within the small radius. Equal sketches share a node. The neighbours found are candidates.
+   a search follows only the edges within the small radius. Equal sketches share a node. Classes of a node, and of two nodes within the
+   radius, are candidates of each other; they leave the trees as members of a group, not as pairs.
 4. Shards that a table of counts tells to be hot are split before they are shuffled, by the tree's own rule: a virtual root is derived
    from the key, a class goes to the edge of its distance and to those below it within the radius, level by level.
-5. Candidates are compared by their whole sets of runs, and pairs of classes are carried over to their members.
+5. The pairs of a group are left out where maps of 256 bits of their runs prove that they are no case. The others are compared by
+   their whole sets of runs, and pairs of classes are carried over to their members.
 
-A pair of classes with share s of the union in common is missed with chance (1 - s**3)**BANDS: 4e-4 at 0.6, 3e-5 at 0.65, 2e-6 at 0.7.
+A pair of classes with share s of the union in common is missed with chance (1 - s**3)**BANDS or so: 4e-4 at 0.6, 3e-5 at 0.65, 2e-6 at 0.7.
 Shard trees are routed by key and never broadcast: all trees together grow with the collection.
 """
 
@@ -35,7 +38,7 @@ HOT = 1 << 16  # classes under one key, more than a cell holds on average, beyon
 PART = 4096  # members of a group beyond which its pairs are made by several tasks
 ROWS = 8192  # passages worked on at once
 BLOOM_BITS = (20, 26)  # least and most bits of a Bloom filter, as powers of two: 128 KB to 8 MB
-_SEEDS = np.random.default_rng(20240501).integers(1, 2**63, size=(3 * BANDS, 2), dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(20240501).integers(1, 2**63, size=(BANDS, 2), dtype=np.uint64) | np.uint64(1)
 _LOW = np.uint64((1 << SYMBOLS) - 1)
 
 
@@ -48,10 +51,16 @@ def _sets(ids: np.ndarray, texts: pa.Array, width: int, min_runs: int) -> tuple[
     return ids[kept], np.cumsum(count) - count, count, runs
 
 
-def _minima(runs: np.ndarray, at: np.ndarray, which: range) -> dict[int, np.ndarray]:
-    """Min-hashes of each row, 32 bits each, by number."""
-    h = mix(runs)
-    return {k: mix(np.minimum.reduceat((h * _SEEDS[k, 0] + _SEEDS[k, 1]) >> np.uint64(32), at)) >> np.uint64(32) for k in which}
+def _minima(runs: np.ndarray, at: np.ndarray, parts: range) -> np.ndarray:
+    """Min-hashes of each row, 32 bits each, BANDS x parts x rows: of the runs that a band deals to the part, all ones where there are none."""
+    h, none = mix(runs), np.uint32(0xFFFFFFFF)
+    out = np.empty((BANDS, len(parts), len(at)), dtype=np.uint64)
+    for j in range(BANDS):
+        u = h * _SEEDS[j, 0] + _SEEDS[j, 1]
+        value, part = (u >> np.uint64(32)).astype(np.uint32), ((u >> np.uint64(16)) & np.uint64(0xFFFF)) * np.uint64(3) >> np.uint64(16)
+        for i, k in enumerate(parts):
+            out[j, i] = np.minimum.reduceat(np.where(part == k, value, none), at)
+    return out
 
 
 def _classes(runs: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -96,10 +105,9 @@ def memberships(texts: DataFrame, width: int, min_runs: int) -> DataFrame:
     return _each(texts, width, min_runs, emit, "id bigint, cls binary")
 
 
-def _keys(runs: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _keys(minima: np.ndarray) -> np.ndarray:
     """The shard keys of each row, BANDS x rows; the low bits are left free for the sketch."""
-    sig = _minima(runs, at, range(2 * BANDS))
-    return np.stack([mix(mix(sig[2 * j] + np.uint64(j << 32)) + sig[2 * j + 1]) & ~_LOW for j in range(BANDS)])
+    return np.stack([mix(mix(m[0] + np.uint64(j << 32)) + m[1]) & ~_LOW for j, m in enumerate(minima)])
 
 
 def _own(fresh: np.ndarray, runs: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +138,8 @@ def key_counts(texts: DataFrame, width: int, min_runs: int) -> np.ndarray:
                 ids, at, n, runs = _sets(b.column(0).to_numpy(zero_copy_only=False), b.column(1), width, min_runs)
                 fresh = _first_of_class(_classes(runs, at, n)[:, 0], seen) if len(ids) else ids
                 if len(fresh):
-                    cells += np.bincount(_cell(_keys(*_own(fresh, runs, at, n))).reshape(-1), minlength=CELLS)
+                    own, first, _ = _own(fresh, runs, at, n)
+                    cells += np.bincount(_cell(_keys(_minima(own, first, range(2)))).reshape(-1), minlength=CELLS)
         src = np.random.default_rng().integers(0, 2**40)
         data = [zlib.compress(cells[i * block : (i + 1) * block].tobytes(), 1) for i in range(16)]
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([src] * 16, pa.int64()), pa.array(data, pa.binary())], names=["block", "src", "data"])
@@ -181,10 +190,9 @@ def shard_rows(texts: DataFrame, width: int, min_runs: int, counts: np.ndarray)
         fresh = _first_of_class(cls[:, 0], seen)
         if not len(fresh):
             return [pa.array([], pa.int64())] * 2
-        own = _own(fresh, runs, at, count)
-        keys = _keys(*own)
-        third = _minima(own[0], own[1], range(2 * BANDS, 3 * BANDS))
-        sketch = np.stack([third[2 * BANDS + j] & _LOW for j in range(BANDS)]).reshape(-1)
+        own, first, _ = _own(fresh, runs, at, count)
+        minima = _minima(own, first, range(3))
+        keys, sketch = _keys(minima), (mix(minima[:, 2]) & _LOW).reshape(-1)
         row, key = split_keys(keys.reshape(-1), sketch, levels.value[_cell(keys)].reshape(-1))
         return [pa.array((key | sketch[row]).view(np.int64)), pa.array(np.tile(cls[fresh, 0], BANDS)[row].view(np.int64))]
 
@@ -247,42 +255,32 @@ class Forest:
             at = to
 
 
-def shard_pairs(k: np.ndarray, cls: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """``(a, b, kind)`` from whole shards, sorted by k: 0 candidate pairs, 1 members (class, node) of large nodes, 2 pairs of nodes of which one is large."""
+def shard_groups(k: np.ndarray, cls: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """``(group, class)`` from whole shards, sorted by k: the members of each node that has several, and of both of any two nodes within the radius.
+
+    A node of sketches is within the radius of few others, whatever the shard's size, which bounds how often a class comes out.
+    """
     u = k.view(np.uint64)
     cuts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1], [True])))
     start, size = cuts[:-1], np.diff(cuts)
     key = u[start] >> np.uint64(SYMBOLS)
     new = np.concatenate(([True], key[1:] != key[:-1]))
-    lone = new & np.concatenate((new[1:], [True]))  # shards of one node
-    keep = ~lone | (size > 1)
-    start, size, new = start[keep], size[keep], new[keep]
-    if not len(start):
-        return
-    forest = Forest(np.cumsum(new) - 1, u[start] & _LOW)
+    tree = np.cumsum(new) - 1
+    several = np.bincount(tree)[tree] > 1
     own = np.flatnonzero(size > 1)
-    large = np.zeros(len(start), dtype=bool)
-    for p, q in [(own, own), *forest.within(radius)]:
-        big = size[p] * size[q] > PART * PART
-        if big.any():
-            large[p[big]] = large[q[big]] = True
-            yield k[start[p[big]]], k[start[q[big]]], 2
-            p, q = p[~big], q[~big]
-        n = size[p] * size[q]
-        done = np.cumsum(n)
-        at = 0
-        while at < len(p):
-            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 22))))
-            m = n[at:to]
-            link = np.repeat(np.arange(at, to), m)
-            i = np.arange(len(link)) - np.repeat(np.cumsum(m) - m, m)
-            x, y = start[p[link]] + i // size[q[link]], start[q[link]] + i % size[q[link]]
-            a, b = cls[x], cls[y]
-            ok = (a != b) & ((p[link] != q[link]) | (x < y))
-            yield np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok]), 0
-            at = to
-    for i in np.flatnonzero(large).tolist():
-        yield cls[start[i] : start[i] + size[i]], np.full(size[i], k[start[i]]), 1
+    name, node = [u[start[own]]], [own]
+    if several.any():
+        at = np.flatnonzero(several)
+        forest = Forest(np.cumsum(new[at]) - 1, u[start[at]] & _LOW)
+        for p, q in forest.within(radius):
+            p, q = at[p], at[q]
+            both = mix(u[start[p]]) ^ mix(u[start[q]] + np.uint64(1))
+            name += [both, both]
+            node += [p, q]
+    name, node = np.concatenate(name), np.concatenate(node)
+    n = size[node]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(name, n).view(np.int64), cls[np.repeat(start[node], n) + inside]
 
 
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -302,43 +300,92 @@ def expand(links: DataFrame, members: DataFrame) -> DataFrame:
     return both.where("(a <> b and x <> y) or x < y").select("x", "y")
 
 
-def candidates(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)``, a < b, of classes that lie within the radius in a shard of ``rows(k, cls)``.
-
-    Rows of a key stand together in a partition that is sorted by key and sketch; its tree is built there. Nodes with many
-    members, whose pairs are all candidates, come out as they are and are expanded by several tasks.
+def _whole_keys(it: Iterator[pa.RecordBatch], key, least: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by a key, cut anew so that no key is in two; ``key(columns)`` is an array that tells keys apart."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for x in it:
+        held.append([c.to_numpy(zero_copy_only=False) for c in x.columns])
+        n += x.num_rows
+        if n < least:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        of = key(cols)
+        last = int(np.flatnonzero(of != of[-1])[-1]) + 1 if (of != of[-1]).any() else 0
+        if last:
+            yield [c[:last] for c in cols]
+        held = [[c[last:] for c in cols]]
+        n = len(cols[0]) - last
+    if n:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def groups_of(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(g, id)``: groups of classes that are candidates of each other, from the shards of ``rows(k, cls)``.
+
+    Rows of a key stand together in a partition that is sorted by key and sketch; its tree is built there.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows_held = 0
-
-        def work(k: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, cls in _whole_keys(it, lambda c: c[0] >> SYMBOLS):
             once = np.concatenate(([True], (k[1:] != k[:-1]) | (cls[1:] != cls[:-1])))  # a class comes once from each task
-            k, cls = k[once], cls[once]
-            for a, b, kind in shard_pairs(k, cls, radius):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kind, np.int32))], names=["a", "b", "kind"])
-
-        for x in it:
-            k, cls = x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)
-            held.append((k, cls))
-            rows_held += len(k)
-            if rows_held < 1 << 18:
-                continue
-            k, cls = (np.concatenate(c) for c in zip(*held, strict=True))
-            cut_at = int(np.searchsorted(k >> SYMBOLS, k[-1] >> SYMBOLS))  # the last key may go on
-            if cut_at:
-                yield from work(k[:cut_at], cls[:cut_at])
-            held, rows_held = [(k[cut_at:], cls[cut_at:])], len(k) - cut_at
-        if rows_held:
-            yield from work(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    ordered = rows.repartition(F.shiftright("k", SYMBOLS)).sortWithinPartitions("k", "cls")
-    found = cut(ordered.mapInArrow(run, "a bigint, b bigint, kind int"))
-    members = found.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("cls")).distinct()
-    more = expand(found.where("kind = 2").select("a", "b").distinct(), members)
-    return found.where("kind = 0").select("a", "b").unionByName(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+            g, c = shard_groups(k[once], cls[once], radius)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], names=["g", "id"])
+
+    return rows.repartition(F.shiftright("k", SYMBOLS)).sortWithinPartitions("k", "cls").mapInArrow(run, "g bigint, id bigint")
+
+
+def class_maps(texts: DataFrame, width: int, min_runs: int) -> DataFrame:
+    """``(id, size, b0, b1, b2, b3)``: of each class its number of runs and a map of 256 bits of them."""
+
+    def emit(ids, cls, runs, at, count, seen):
+        fresh = _first_of_class(cls[:, 0], seen)
+        if not len(fresh):
+            return [pa.array([], pa.int64())] * 6
+        own, first, n = _own(fresh, runs, at, count)
+        h = mix(own) >> np.uint64(56)
+        bit = np.uint64(1) << (h & np.uint64(63))
+        maps = [np.bitwise_or.reduceat(np.where(h >> np.uint64(6) == w, bit, np.uint64(0)), first).view(np.int64) for w in range(4)]
+        return [pa.array(cls[fresh, 0].view(np.int64)), pa.array(n.astype(np.int64)), *map(pa.array, maps)]
+
+    return _each(texts, width, min_runs, emit, "id bigint, size bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint").dropDuplicates(["id"])
+
+
+def group_pairs(groups: DataFrame, maps: DataFrame, share: float) -> DataFrame:
+    """Distinct pairs ``(a, b)``, a < b, of each group, but for those whose maps prove that less than ``share`` of the union is common.
+
+    The members of a large group are dealt to parts of PART, and each pair of parts is a task's work.
+    """
+    sized = groups.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("g", F.ceil(F.col("n") / PART).cast("int").alias("s"))
+    dealt = groups.join(sized, "g", "left").withColumn("i", F.when(F.col("s").isNotNull(), F.pmod(F.xxhash64("id"), F.col("s"))).otherwise(0).cast("int"))
+    placed = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1)))
+    task = F.when(F.col("s").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.least("i", "k"), F.greatest("i", "k")))
+    rows = placed.select(task.alias("t"), F.when(F.col("i") == F.col("k"), 0).when(F.col("i") < F.col("k"), 1).otherwise(2).alias("side"), "id")
+    per = round(share * 1000)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, side, ids, size, *maps_ in _whole_keys(it, lambda c: c[0], 1 << 16):
+            bits = [m.view(np.uint64) for m in maps_]
+            cuts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
+            follow = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(t)) - 1  # rows of the group after each
+            load = np.cumsum(follow)
+            at = 0
+            while at < len(t):
+                to = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + (1 << 21))))
+                n = follow[at:to]
+                x = np.repeat(np.arange(at, to), n)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                ok = (ids[x] != ids[y]) & ((side[x] == 0) | (side[x] != side[y]))
+                x, y = x[ok], y[ok]
+                least = -(-per * (size[x] + size[y]) // (1000 + per))  # common runs of a case
+                only_x, only_y = (sum(np.bitwise_count(w[p] & ~w[q]).astype(np.int64) for w in bits) for p, q in ((x, y), (y, x)))
+                ok = (size[x] - only_x >= least) & (size[y] - only_y >= least)
+                x, y = ids[x[ok]], ids[y[ok]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                at = to
+
+    return rows.join(maps, "id").select("t", "side", "id", "size", "b0", "b1", "b2", "b3").repartition("t").sortWithinPartitions("t").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _positions(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -422,11 +469,12 @@ def class_pairs(table: DataFrame, id_col: str, text_col: str, width: int = 5, sh
     """
     texts = prepared(table, id_col, text_col)
     counts = key_counts(texts, width, min_runs)
-    pairs = cut(candidates(shard_rows(texts, width, min_runs, counts)))
+    groups = cut(groups_of(shard_rows(texts, width, min_runs, counts)))
+    pairs = cut(group_pairs(groups, class_maps(texts, width, min_runs), share))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
     runs = cut(runs_of(texts, bloom(ends), width, min_runs))
     links = cut(verified(pairs, runs, share))
-    release(pairs, runs)
+    release(groups, pairs, runs)
     return memberships(texts, width, min_runs), links
 
 

@@ -135,13 +135,25 @@ def test_trees_leave_out_most_nodes():
 
 @pytest.mark.parametrize("part", [nd.PART, 3])
 def test_candidates(spark, monkeypatch, part):
-    """All pairs of a shard within the radius, also where nodes are large; a shard's copies from several tasks count once."""
+    """All pairs of a shard within the radius, also where groups are large; a class that comes from several tasks counts once."""
     monkeypatch.setattr(nd, "PART", part)
     rng = random.Random(2)
     data = [(key << nd.SYMBOLS | rng.choice([5, 7, 15, 1024, 1025, 60000]), c) for key in (-3, 4, 9) for c in rng.sample(range(1000), 40)]
     df = spark.createDataFrame([*data, *data[:30]], "k bigint, cls bigint")
+    maps = spark.createDataFrame([(c, 50, 0, 0, 0, 0) for c in {c for _, c in data}], "id bigint, size bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
     want = {(min(a, b), max(a, b)) for i, (k, a) in enumerate(data) for m, b in data[:i] if a != b and k >> nd.SYMBOLS == m >> nd.SYMBOLS and ((k ^ m) & 0xFFFF).bit_count() <= nd.RADIUS}
-    assert rows(nd.candidates(df)) == sorted(want)
+    assert rows(nd.group_pairs(nd.groups_of(df), maps, 0.6)) == sorted(want)
+
+
+def test_maps_leave_out_no_case(spark):
+    df = spark.createDataFrame(corpus(40, 8), "doc_id bigint, text string")
+    maps = nd.class_maps(df, 3, 10)
+    every = maps.selectExpr("1L as g", "id")
+    kept = set(rows(nd.group_pairs(every, maps, 0.6)))
+    ids = dict(rows(nd.memberships(df, 3, 10)))
+    first = {i: int.from_bytes(bytes(c)[:8], "little", signed=True) for i, c in ids.items()}
+    want = {tuple(sorted((first[a], first[b]))) for a, b in brute(corpus(40, 8), 3, 0.6, 10) if ids[a] != ids[b]}
+    assert want <= kept and len(kept) < 3 * len(want) + 20
 
 
 def test_hot_shards_are_split_before_the_shuffle():
