@@ -36,9 +36,9 @@ SYMBOLS, RADIUS = 16, 1  # bits of a sketch; unrelated ones differ in 8 on avera
 CELLS = 1 << 20  # of the table that counts shard keys
 HOT = 1 << 16  # classes under one key, more than a cell holds on average, beyond which the key's tree is split before the shuffle
 PART = 4096  # members of a group beyond which its pairs are made by several tasks
-ROWS = 8192  # passages worked on at once
+ROWS, BLOCK = 8192, 1024  # passages worked on at once
 BLOOM_BITS = (20, 26)  # least and most bits of a Bloom filter, as powers of two: 128 KB to 8 MB
-_SEEDS = np.random.default_rng(20240501).integers(1, 2**63, size=(BANDS, 2), dtype=np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(20240501).integers(1, 2**63, size=(BANDS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _LOW = np.uint64((1 << SYMBOLS) - 1)
 
 
@@ -53,13 +53,16 @@ def _sets(ids: np.ndarray, texts: pa.Array, width: int, min_runs: int) -> tuple[
 
 def _minima(runs: np.ndarray, at: np.ndarray, parts: range) -> np.ndarray:
     """Min-hashes of each row, 32 bits each, BANDS x parts x rows: of the runs that a band deals to the part, all ones where there are none."""
-    h, none = mix(runs), np.uint32(0xFFFFFFFF)
-    out = np.empty((BANDS, len(parts), len(at)), dtype=np.uint64)
-    for j in range(BANDS):
-        u = h * _SEEDS[j, 0] + _SEEDS[j, 1]
-        value, part = (u >> np.uint64(32)).astype(np.uint32), ((u >> np.uint64(16)) & np.uint64(0xFFFF)) * np.uint64(3) >> np.uint64(16)
-        for i, k in enumerate(parts):
-            out[j, i] = np.minimum.reduceat(np.where(part == k, value, none), at)
+    h = (mix(runs) >> np.uint64(16)).astype(np.uint32)
+    out = np.empty((BANDS, len(parts), len(at)), dtype=np.uint32)
+    for lo in range(0, len(at), BLOCK):  # small enough for a core's own memory
+        first = at[lo]
+        x = h[first : at[lo + BLOCK] if lo + BLOCK < len(at) else len(h)]
+        for j in range(BANDS):
+            u = x * _SEEDS[j, 0] + _SEEDS[j, 1]
+            part = ((u & np.uint32(0xFFFF)) * np.uint32(3)) >> np.uint32(16)
+            for i, k in enumerate(parts):
+                np.minimum.reduceat(u | -(part != k).astype(np.uint32), at[lo : lo + BLOCK] - first, out=out[j, i, lo : lo + BLOCK])
     return out
 
 
@@ -107,7 +110,7 @@ def memberships(texts: DataFrame, width: int, min_runs: int) -> DataFrame:
 
 def _keys(minima: np.ndarray) -> np.ndarray:
     """The shard keys of each row, BANDS x rows; the low bits are left free for the sketch."""
-    return np.stack([mix(mix(m[0] + np.uint64(j << 32)) + m[1]) & ~_LOW for j, m in enumerate(minima)])
+    return np.stack([mix(mix(m[0].astype(np.uint64) + np.uint64(j << 32)) + m[1].astype(np.uint64)) & ~_LOW for j, m in enumerate(minima)])
 
 
 def _own(fresh: np.ndarray, runs: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +195,7 @@ def shard_rows(texts: DataFrame, width: int, min_runs: int, counts: np.ndarray)
             return [pa.array([], pa.int64())] * 2
         own, first, _ = _own(fresh, runs, at, count)
         minima = _minima(own, first, range(3))
-        keys, sketch = _keys(minima), (mix(minima[:, 2]) & _LOW).reshape(-1)
+        keys, sketch = _keys(minima), (mix(minima[:, 2].astype(np.uint64)) & _LOW).reshape(-1)
         row, key = split_keys(keys.reshape(-1), sketch, levels.value[_cell(keys)].reshape(-1))
         return [pa.array((key | sketch[row]).view(np.int64)), pa.array(np.tile(cls[fresh, 0], BANDS)[row].view(np.int64))]
 
