@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.codec import delta_decode, delta_encode, varbyte_decode, varbyte_encode, varbyte_length
+from lodestone.functions.codec import delta_decode, delta_encode, list_header, varbyte_decode, varbyte_encode, varbyte_length
 from lodestone.functions.text import has_token, tokens
 from lodestone.operators.prefix import before
+from lodestone.operators.storage import cut
 from lodestone.sources.collection import explode_postings, read_blocks
 
 
@@ -61,15 +62,21 @@ def delta_postings(post: DataFrame) -> DataFrame:
 def lexicon_layout(post: DataFrame) -> DataFrame:
     """``(term, doc_count, length, offset)`` of the packed list file: 12 bytes of header and both coded arrays per term.
 
-    The running offset is a sum over buckets of terms first and within the bucket second, so no task sorts all terms.
+    Bytes are summed within ranges of doc_ids, where a range's first gap is put right from a small per-range table. The running offset is a
+    sum within ranges of terms, each a task's share, and over the few ranges: no task sorts all terms.
     """
-    sizes = delta_postings(post).select("term", (varbyte_length(F.col("gap")) + varbyte_length(F.col("tf"))).alias("bytes"))
-    per = sizes.groupBy("term").agg(F.count("*").alias("doc_count"), (F.sum("bytes") + 12).alias("length"))
-    per = per.withColumn("head", F.substring("term", 1, 2))  # terms are [a-z0-9]: at most 36 * 37 heads, in term order
-    heads = per.groupBy("head").agg(F.sum("length").alias("n"))
-    first = heads.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("first"))
-    inside = F.sum("length").over(Window.partitionBy("head").orderBy("term")) - F.col("length")
-    return per.withColumn("inside", inside).join(first, "head").select("term", "doc_count", "length", (F.col("first") + F.col("inside")).alias("offset"))
+    size = lambda n: varbyte_length(n)
+    span = F.floor(F.col("doc_id") / 65536).alias("span")
+    lagged = post.select("term", "doc_id", "tf", span).withColumn("prev", F.lag("doc_id").over(Window.partitionBy("term", "span").orderBy("doc_id")))
+    inner = F.sum(size(F.col("tf")) + F.coalesce(size(F.col("doc_id") - F.col("prev")), F.lit(0)))
+    spans = lagged.groupBy("term", "span").agg(F.count("*").alias("n"), inner.alias("bytes"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    gap = F.col("low") - F.lag("high", 1, 0).over(Window.partitionBy("term").orderBy("span"))
+    per = spans.withColumn("gap", gap).groupBy("term").agg(F.sum("n").alias("doc_count"), (F.sum(F.col("bytes") + size(F.col("gap"))) + 12).alias("length"))
+    ranged = cut(per.repartitionByRange("term").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.sum("length").alias("all"))
+    first = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("first"))
+    inside = F.sum("length").over(Window.partitionBy("part").orderBy("term")) - F.col("length")
+    return ranged.withColumn("inside", inside).join(first, "part").select("term", "doc_count", "length", (F.col("first") + F.col("inside")).alias("offset"))
 
 
 def numbered_postings(passages: DataFrame, max_postings: int) -> DataFrame:
@@ -80,10 +87,13 @@ def numbered_postings(passages: DataFrame, max_postings: int) -> DataFrame:
     """
     if max_postings < 1:
         raise ValueError("max_postings must be at least 1")
-    distinct = tokenized(passages).select("doc_id", "tokens", F.array_distinct("tokens").alias("terms")).withColumn("n_terms", F.size("terms"))
-    each = before(distinct, "doc_id", "n_terms", "base").select("doc_id", "tokens", "base", F.posexplode("terms").alias("pos", "term"))
-    tf = F.size(F.filter("tokens", lambda t: t == F.col("term"))).cast("bigint")
-    return each.select(F.floor((F.col("base") + F.col("pos")) / max_postings).cast("bigint").alias("block_no"), "term", "doc_id", tf.alias("tf"))
+    dealt = passages.select("doc_id", "text").repartition("doc_id")  # all that follows is grouped by doc_id and further columns
+    each = dealt.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("at", "term"))
+    counted = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("at").alias("at"))
+    placed = counted.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1)
+    sizes = passages.select("doc_id", F.size(F.array_distinct(tokens(F.col("text")))).alias("n_terms")).where("n_terms > 0")
+    base = before(sizes, "doc_id", "n_terms", "base").select("doc_id", "base")
+    return placed.join(base, "doc_id").select(F.floor((F.col("base") + F.col("pos")) / max_postings).cast("bigint").alias("block_no"), "term", "doc_id", "tf")
 
 
 def block_stats(passages: DataFrame, max_postings: int = 50_000) -> DataFrame:
@@ -132,6 +142,12 @@ def packed_postings(post: DataFrame, span: int = 65536) -> DataFrame:
     return cut.select("term", "span_no", F.size("p").cast("bigint").alias("doc_count"), varbyte_encode(gaps).alias("doc_bytes"), varbyte_encode(F.col("p.tf")).alias("tf_bytes"))
 
 
+def packed_lists(post: DataFrame) -> DataFrame:
+    """``(term, span_no, data)``: the parts of ``packed_postings`` as they stand in a binary file: header, coded gaps, coded frequencies."""
+    header = list_header(F.col("doc_count"), F.octet_length("doc_bytes"), F.octet_length("tf_bytes"))
+    return packed_postings(post).select("term", "span_no", F.concat(header, "doc_bytes", "tf_bytes").alias("data"))
+
+
 def unpacked_postings(packed: DataFrame, span: int = 65536) -> DataFrame:
     """``(term, doc_id, tf)`` of packed lists."""
     ids = F.transform(delta_decode(varbyte_decode(F.col("doc_bytes"))), lambda x: x + F.col("span_no") * span)

@@ -64,7 +64,9 @@ def key_quantiles(values: DataFrame, key: str, value: str, probs: list[float], w
     # as unsigned, numbers with the sign bit flipped are in the order of the signed ones
     rows = values.select(F.col(key).alias("k"), F.col(value).cast("bigint").bitwiseXOR(F.lit(SIGN)).alias("u"), w.alias("w")).dropna().where("w > 0")
     low, high = rows.agg(F.min(F.col("u").bitwiseXOR(F.lit(SIGN))), F.max(F.col("u").bitwiseXOR(F.lit(SIGN)))).first()
-    bits = 64 if low is None or low < 0 else max(1, int(high).bit_length())
+    if low is None:
+        return rows.select(F.col("k").alias(key), F.lit(0.0).alias("prob"), F.col("u").alias("quantile")).where(F.lit(False))
+    bits = 64 if low < 0 else max(1, int(high).bit_length())
     if bits < 64:
         rows = rows.withColumn("u", F.col("u").bitwiseXOR(F.lit(SIGN)))
     totals = rows.groupBy("k").agg(F.sum("w").alias("n"), F.count("*").alias("rows"))
@@ -104,15 +106,15 @@ def posting_histogram(blocks: DataFrame) -> DataFrame:
     )
 
 
-def term_totals(blocks: DataFrame, probs: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+def term_totals(blocks: DataFrame, probs: tuple[float, ...] = (0.5, 0.9, 0.99), all_rows: int | None = None) -> DataFrame:
     """``(term, n_rows, n_postings, sum_tf, share, tf_quantiles)`` of every term of a block table.
 
-    share is the term's part of all rows, counted as they stand. tf_quantiles is an array of exact quantiles of the
+    share is the term's part of all rows, counted as they stand, or of ``all_rows``. tf_quantiles is an array of exact quantiles of the
     frequencies, one for each of ``probs``, null for a term without postings. A null term forms a row of its own that has
     rows but no postings. Extra columns are ignored; an empty table gives no rows.
     """
     hist = cut(posting_histogram(blocks))
-    all_rows = hist.agg(F.sum("n_rows")).first()[0] or 0
+    all_rows = all_rows or hist.agg(F.sum("n_rows")).first()[0] or 0
     totals = hist.groupBy("term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n_postings"), F.coalesce(F.sum(F.col("tf") * F.col("n")), F.lit(0)).alias("sum_tf"))
     quant = key_quantiles(hist.where("n > 0"), "term", "tf", list(probs), weight="n", digit_bits=6)
     wide = quant.groupBy("term").agg(*[F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(f"q{i}") for i, p in enumerate(probs)])
@@ -122,6 +124,13 @@ def term_totals(blocks: DataFrame, probs: tuple[float, ...] = (0.5, 0.9, 0.99))
 
 
 def hot_terms(blocks: DataFrame, percent: int = 2) -> DataFrame:
-    """Rows of ``term_totals`` of the terms, not null, with at least ``percent`` % of all rows."""
-    t = term_totals(blocks)
-    return t.where(F.col("term").isNotNull() & (F.col("n_rows") * 100 >= F.col("all_rows") * percent))
+    """Rows of ``term_totals`` of the terms, not null, with at least ``percent`` % of all rows.
+
+    Rows are counted first, which tells the hot terms, at most 100 / percent; ranks are then resolved for these alone. A hot term with
+    postings comes out once its ranks are known.
+    """
+    counts = cut(blocks.groupBy("term").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r["term"] for r in counts.where(F.col("term").isNotNull() & (F.col("n") * 100 >= total * percent)).collect()]
+    totals = term_totals(blocks.where(F.col("term").isin(hot) if hot else F.lit(False)), all_rows=total)
+    return totals.where((F.col("n_rows") * 100 >= F.lit(total) * percent) & ((F.col("n_postings") == 0) | F.col("tf_quantiles").isNotNull()))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import codec, text
 from lodestone.operators import index, skew
+from lodestone.operators.storage import shared_folder
 from lodestone.plans import search, snippets
 from lodestone.sources import collection as src
 from lodestone.sources import raw_lines
@@ -18,12 +21,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 BATCH = [(1, "the valve of the reactor"), (2, "and"), (3, "steel pump pressure"), (4, "zzqqxx nothingatall"), (5, "der die und"), (6, "the zzqqxx price")]
 
 
+TOTALS = [("reactor valve pressure", "disjunctive"), ("the valve", "conjunctive"), ("valve zzqqxx", "conjunctive"), ("zzqqxx", "disjunctive")]
+
+
 def _passages(spark: SparkSession, d: str) -> DataFrame:
     return src.read_passages(spark, d)
 
 
+_SAVED: dict[tuple[str, str], search.SearchEngine] = {}
+
+
 def _engine(spark: SparkSession, d: str) -> search.SearchEngine:
-    return search.SearchEngine.from_passages(_passages(spark, d))
+    """The saved index of a folder's passages, written once in an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SAVED:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        search.SearchEngine.from_passages(_passages(spark, d)).save(path)
+        _SAVED[key] = search.SearchEngine.load(spark, path)
+    return _SAVED[key]
 
 
 def _post(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +58,7 @@ def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def web_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Kept tokens of whole web pages."""
-    docs = src.read_table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("passage_id"), "text")
+    docs = src.read_table(spark, d, "documents", spark.sparkContext.defaultParallelism).select("doc_id", F.col("doc_id").cast("string").alias("passage_id"), "text")
     return index.doc_table(docs)
 
 
@@ -108,6 +123,71 @@ def _top(query: str, mode: str, k: int = 10) -> Query:
     return lambda spark, d: _engine(spark, d).search(query, mode, k)
 
 
+def bm25_from_text(spark: SparkSession, d: str) -> DataFrame:
+    """A search without a saved index."""
+    return search.SearchEngine.from_passages(_passages(spark, d)).search("reactor valve pressure", "disjunctive", 10)
+
+
+def bm25_k1_b(spark: SparkSession, d: str) -> DataFrame:
+    """A search with other parameters than the usual ones."""
+    e = _engine(spark, d)
+    return search.SearchEngine(e.postings, e.docs, k1=0.9, b=0.4).search("reactor valve pressure", "disjunctive", 10)
+
+
+def bm25_total_hits(spark: SparkSession, d: str) -> DataFrame:
+    """How many passages match each of some queries."""
+    e = _engine(spark, d)
+    each = [e.scored(q, m).agg(F.count("*").alias("total")).select(F.lit(q).alias("query"), F.lit(m).alias("mode"), "total") for q, m in TOTALS]
+    return reduce(DataFrame.unionByName, each)
+
+
+def saved_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """The lexicon of the saved index, from its postings."""
+    return _engine(spark, d).lexicon()
+
+
+def bm25_batch_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The five best passages for the whole text of every passage whose doc_id is divisible by 20."""
+    asked = _passages(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return _engine(spark, d).search_batch(asked, "disjunctive", 5).withColumn("score", F.round("score", 6))
+
+
+def tsv_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The raw lines of collection_raw, written as a TSV file and scanned."""
+    path = f"{shared_folder(spark)}/tsv-{uuid.uuid4().hex}"
+    lines = src.read_table(spark, d, "collection_raw").where("raw_line is not null")
+    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("raw_line").write.text(path)
+    return src.read_tsv(spark, path)
+
+
+def text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The postings after writing them as text blocks, finding and reading the blocks and merging them."""
+    path = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    index.write_blocks(_passages(spark, d), path, 20_000)
+    return index.merge_blocks(src.read_block_files(spark, path))
+
+
+def text_block_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and postings of each text block, as they are read from its files."""
+    path = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    index.write_blocks(_passages(spark, d), path, 50_000)
+    rows = src.read_block_files(spark, path).select("block_no", F.size(F.split("postings", ",")).alias("n"))
+    return rows.groupBy(F.col("block_no").cast("bigint").alias("block_no")).agg(F.sum("n").alias("n_postings"), F.count("*").alias("n_terms"))
+
+
+def packed_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Header and length of each part of a list in the binary form."""
+    lists = index.packed_lists(_post(spark, d))
+    return lists.select("term", "span_no", F.hex(F.substring("data", 1, 12)).alias("header"), F.octet_length("data").cast("bigint").alias("bytes"))
+
+
+def passage_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """One passage, looked up by the passage_id of most deliveries, the smallest of equals."""
+    p = _passages(spark, d)
+    asked = p.where("passage_id is not null").groupBy("passage_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "passage_id").first()
+    return src.lookup(p, asked["passage_id"] if asked else "")
+
+
 def bm25_or_all(spark: SparkSession, d: str) -> DataFrame:
     return _engine(spark, d).scored("reactor valve of").withColumn("score", F.round("score", 6))
 
@@ -159,15 +239,15 @@ def p4_term_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return raw_lines.parse_lines(src.read_table(spark, d, "collection_raw")).where("not ok").select("line_no")
+    return raw_lines.parse_lines(src.read_table(spark, d, "collection_raw", spark.sparkContext.defaultParallelism)).where("not ok").select("line_no")
 
 
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return raw_lines.loaded(src.read_table(spark, d, "collection_raw"))
+    return raw_lines.loaded(src.read_table(spark, d, "collection_raw", spark.sparkContext.defaultParallelism))
 
 
 def p5_rejected(spark: SparkSession, d: str) -> DataFrame:
-    return raw_lines.rejected(src.read_table(spark, d, "collection_raw"))
+    return raw_lines.rejected(src.read_table(spark, d, "collection_raw", spark.sparkContext.defaultParallelism))
 
 
 QUERIES: dict[str, Query] = {
@@ -192,6 +272,16 @@ QUERIES: dict[str, Query] = {
     "packed_roundtrip": packed_roundtrip,
     "cursor_next": cursor_next,
     "cursor_seek": cursor_seek,
+    "bm25_from_text": bm25_from_text,
+    "bm25_k1_b": bm25_k1_b,
+    "bm25_total_hits": bm25_total_hits,
+    "bm25_batch_texts": bm25_batch_texts,
+    "saved_lexicon": saved_lexicon,
+    "tsv_scan": tsv_scan,
+    "text_blocks": text_blocks,
+    "text_block_stats": text_block_stats,
+    "packed_lists": packed_lists,
+    "passage_by_id": passage_by_id,
     "bm25_or_topk": _top("reactor valve pressure", "disjunctive"),
     "bm25_and_topk": _top("the valve", "conjunctive"),
     "bm25_or_all": bm25_or_all,
@@ -219,22 +309,26 @@ post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(toks) A
 lex AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 st AS (SELECT count(*) AS n, avg(length) AS avgdl FROM docs)"""
 _IDF = "ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)))"
-_W = f"{_IDF} * ((tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * ((CAST(1 AS DOUBLE) - CAST(0.75 AS DOUBLE)) + CAST(0.75 AS DOUBLE) * length / avgdl)))"
 
 
 def _sql_terms(query: str) -> str:
     return ", ".join(f"'{t}'" for t in text.query_terms(query))
 
 
-def _sql_scored(query: str, every: bool) -> str:
+def _weight(k1: float = 1.2, b: float = 0.75) -> str:
+    num = lambda x: f"CAST({x!r} AS DOUBLE)"
+    return f"{_IDF} * ((tf * {num(k1 + 1)}) / (tf + {num(k1)} * (({num(1)} - {num(b)}) + {num(b)} * length / avgdl)))"
+
+
+def _sql_scored(query: str, every: bool, weight: str | None = None) -> str:
     having = f" HAVING count(*) = (SELECT count(*) FROM lex WHERE term IN ({_sql_terms(query)}))" if every else ""
     return f"""WITH {_BASE},
-scored AS (SELECT doc_id, sum({_W} ORDER BY term) AS score FROM post JOIN lex USING (term) JOIN docs USING (doc_id), st
+scored AS (SELECT doc_id, sum({weight or _weight()} ORDER BY term) AS score FROM post JOIN lex USING (term) JOIN docs USING (doc_id), st
   WHERE term IN ({_sql_terms(query)}) GROUP BY doc_id{having})"""
 
 
-def _sql_top(query: str, every: bool, k: int = 10) -> str:
-    return f"""{_sql_scored(query, every)},
+def _sql_top(query: str, every: bool, k: int = 10, weight: str | None = None) -> str:
+    return f"""{_sql_scored(query, every, weight)},
 top AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank, doc_id, score FROM scored)
 SELECT rank, doc_id, coalesce(passage_id, 'doc_' || doc_id) AS passage_id, round(score, 6) AS score FROM top JOIN docs USING (doc_id) WHERE rank <= {k}"""
 
@@ -245,7 +339,7 @@ def _sql_batch(every: bool) -> str:
     return f"""WITH {_BASE},
 wanted(query_id, term) AS (VALUES {rows}),
 known AS (SELECT query_id, term, df, count(*) OVER (PARTITION BY query_id) AS need FROM wanted JOIN lex USING (term)),
-scored AS (SELECT query_id, doc_id, sum({_W} ORDER BY term) AS score FROM known JOIN post USING (term) JOIN docs USING (doc_id), st GROUP BY query_id, doc_id{having}),
+scored AS (SELECT query_id, doc_id, sum({_weight()} ORDER BY term) AS score FROM known JOIN post USING (term) JOIN docs USING (doc_id), st GROUP BY query_id, doc_id{having}),
 top AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank, doc_id, score FROM scored)
 SELECT CAST(query_id AS BIGINT) AS query_id, rank, doc_id, round(score, 6) AS score FROM top WHERE rank <= 10"""
 
@@ -270,6 +364,11 @@ fields AS (SELECT line_no, shaped AND raw_line IS NOT NULL AS shaped,
 judged AS (SELECT line_no, pid, txt, shaped AND regexp_full_match(pid, '[0-9]{1,9}') AND NOT regexp_matches(txt, '[\x00-\x08\x0a-\x1f\x7f\x{FFFD}]')
     AND regexp_matches(txt, '[^ \t\x{A0}]') AS ok FROM fields)"""
 
+_BLOCKS = f"""WITH {_BASE},
+p AS (SELECT doc_id, term, min(i) AS i FROM (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS i FROM toks) GROUP BY doc_id, term),
+s AS (SELECT term, CAST((row_number() OVER (ORDER BY doc_id, i) - 1) // 50000 AS BIGINT) AS block_no FROM p)
+SELECT block_no, count(*) AS n_postings, count(DISTINCT term) AS n_terms FROM s GROUP BY block_no"""
+
 ORACLE: dict[str, str] = {
     "tokenize_documents": f"WITH {_BASE} SELECT doc_id, array_to_string(toks, ' ') AS tokens, CAST(len(toks) AS BIGINT) AS n_tokens FROM toks WHERE len(toks) > 0",
     "web_tokens": """SELECT doc_id, CAST(doc_id AS VARCHAR) AS passage_id, n AS length FROM (SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'),
@@ -286,10 +385,8 @@ ORACLE: dict[str, str] = {
     "lexicon_layout": f"{_LAYOUT} SELECT term, doc_count, length, CAST(coalesce(sum(length) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM l",
     "index_layout_size": f"""{_LAYOUT} SELECT (SELECT CAST(sum(length) AS BIGINT) FROM l) AS list_bytes, (SELECT CAST(sum(strlen(term) + 24) AS BIGINT) FROM l) AS lexicon_bytes,
   CAST(sum(coalesce(strlen(passage_id), 0) + 12) AS BIGINT) AS doc_table_bytes, CAST(sum(strlen(passage_text)) AS BIGINT) AS text_bytes FROM passage_collection WHERE doc_id IN (SELECT doc_id FROM docs)""",
-    "block_stats": f"""WITH {_BASE},
-p AS (SELECT doc_id, term, min(i) AS i FROM (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS i FROM toks) GROUP BY doc_id, term),
-s AS (SELECT term, CAST((row_number() OVER (ORDER BY doc_id, i) - 1) // 50000 AS BIGINT) AS block_no FROM p)
-SELECT block_no, count(*) AS n_postings, count(DISTINCT term) AS n_terms FROM s GROUP BY block_no""",
+    "block_stats": _BLOCKS,
+    "text_block_stats": _BLOCKS,
     "block_reader": f"WITH {_ENTRIES} SELECT block_no, term, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc, CAST(sum(tf) AS BIGINT) AS sum_tf FROM e GROUP BY block_no, term",
     "lexicon_load": """SELECT block_no, term, doc_count FROM (SELECT block_no, term, doc_count, row_number() OVER (PARTITION BY block_no, term ORDER BY written_at DESC NULLS LAST, doc_count DESC NULLS LAST) AS r
   FROM lexicon WHERE block_no IS NOT NULL AND term IS NOT NULL) WHERE r = 1""",
@@ -301,6 +398,24 @@ SELECT block_no, count(*) AS n_postings, count(DISTINCT term) AS n_terms FROM s
   FROM (SELECT *, list_prepend(CAST(0 AS BIGINT), ids[:-2]) AS prev FROM (SELECT block_no, term, piece_no, list_transform(string_split(postings, ','), lambda x: CAST(split_part(x, ':', 1) AS BIGINT)) AS ids FROM {_ROWS} WHERE regexp_full_match(postings, '\\d+:\\d+(,\\d+:\\d+)*')))""",
     "cursor_next": f"WITH {_BASE} SELECT doc_id, tf FROM post WHERE term = 'valve' AND doc_id > 100 ORDER BY doc_id LIMIT 1",
     "cursor_seek": f"WITH {_BASE} SELECT doc_id, tf FROM post WHERE term = 'valve' AND doc_id >= 100 ORDER BY doc_id LIMIT 1",
+    "bm25_from_text": _sql_top("reactor valve pressure", False),
+    "bm25_k1_b": _sql_top("reactor valve pressure", False, weight=_weight(0.9, 0.4)),
+    "bm25_total_hits": " UNION ALL ".join(f"SELECT '{q}' AS query, '{m}' AS mode, (SELECT count(*) FROM ({_sql_scored(q, m == 'conjunctive')} SELECT doc_id FROM scored)) AS total" for q, m in TOTALS),
+    "bm25_batch_texts": f"""WITH {_BASE},
+wanted AS (SELECT DISTINCT doc_id AS query_id, unnest(toks) AS term FROM toks WHERE doc_id % 20 = 0),
+scored AS (SELECT query_id, doc_id, sum({_weight()} ORDER BY term) AS score FROM wanted JOIN lex USING (term) JOIN post USING (term) JOIN docs USING (doc_id), st GROUP BY query_id, doc_id),
+top AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank, doc_id, score FROM scored)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM top WHERE rank <= 5""",
+    "saved_lexicon": f"WITH {_BASE} SELECT term, df FROM lex",
+    "tsv_scan": r"""WITH line AS (SELECT line_no, i, x FROM (SELECT line_no, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT line_no, string_split_regex(raw_line, '\r\n|\r|\n') AS x FROM collection_raw WHERE raw_line IS NOT NULL))),
+s AS (SELECT line_no, i, regexp_replace(x, '^[\x{1c}-\x{1f}\x{85}\s\x{0b}\p{Z}]+|[\x{1c}-\x{1f}\x{85}\s\x{0b}\p{Z}]+$', '', 'g') AS x FROM line)
+SELECT row_number() OVER (ORDER BY line_no, i) - 1 AS doc_id, split_part(x, chr(9), 1) AS passage_id, x[instr(x, chr(9)) + 1:] AS text FROM s WHERE instr(x, chr(9)) > 0""",
+    "text_blocks": f"WITH {_BASE} SELECT term, doc_id, tf FROM post",
+    "packed_lists": f"""{_GAPS},
+l AS (SELECT term, doc_id // 65536 AS span_no, count(*) AS n, CAST(sum({_VB("(CASE WHEN doc_id // 65536 = (doc_id - gap) // 65536 THEN gap ELSE doc_id % 65536 END)")}) AS BIGINT) AS d, CAST(sum({_VB("tf")}) AS BIGINT) AS t FROM g GROUP BY ALL)
+SELECT term, span_no, {" || ".join(f"lpad(hex(({x} >> {b}) & 255), 2, '0')" for x in ("n", "d", "t") for b in (0, 8, 16, 24))} AS header, 12 + d + t AS bytes FROM l""",
+    "passage_by_id": """SELECT passage_id, doc_id, passage_text AS text FROM passage_collection WHERE passage_id = (SELECT passage_id FROM passage_collection WHERE passage_id IS NOT NULL GROUP BY passage_id ORDER BY count(*) DESC, passage_id LIMIT 1)
+  ORDER BY doc_id DESC LIMIT 1""",
     "bm25_or_topk": _sql_top("reactor valve pressure", False),
     "bm25_and_topk": _sql_top("the valve", True),
     "bm25_or_all": f"{_sql_scored('reactor valve of', False)} SELECT doc_id, round(score, 6) AS score FROM scored",

@@ -8,26 +8,24 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import drop_invalid_utf8, strip
 
 
-SPREAD_BYTES, SPLIT_BYTES = 1 << 20, 128 << 20
+def read_table(spark: SparkSession, folder: str, name: str, spread: int = 0) -> DataFrame:
+    """The Parquet table ``name`` of ``folder``; with ``spread``, one in fewer splits than that is dealt out to as many tasks.
 
-
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of ``folder``.
-
-    A table of some size that comes in fewer splits than there are cores, as a single file with one row group does, is dealt out
-    to all of them. Tables of more splits than that are read as they are.
+    A file of one row group is one split, however many cores there are, which costs more than the shuffle where Python works on each row.
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if SPREAD_BYTES <= size < cores * SPLIT_BYTES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(spread) if spread > 1 and df.rdd.getNumPartitions() < spread else df
 
 
 def read_passages(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, passage_id, text)`` of the table passage_collection; ids are used as they are."""
-    return read_table(spark, folder, "passage_collection").select("doc_id", "passage_id", F.col("passage_text").alias("text"))
+    return read_table(spark, folder, "passage_collection", spark.sparkContext.defaultParallelism).select("doc_id", "passage_id", F.col("passage_text").alias("text"))
+
+
+def lookup(passages: DataFrame, passage_id: str) -> DataFrame:
+    """``(passage_id, doc_id, text)`` of one passage: the last that was delivered under its id, no row for an unknown id. The filter reaches the scan."""
+    found = passages.where(F.col("passage_id") == F.lit(passage_id)).orderBy(F.desc("doc_id")).limit(1)
+    return found.select("passage_id", "doc_id", "text")
 
 
 def parse_tsv_line(line: Column) -> tuple[Column, Column, Column]:
@@ -76,8 +74,13 @@ def explode_postings(blocks: DataFrame, *keep: str) -> DataFrame:
 
 
 def read_block_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(block_no, term, piece_no, postings)`` of text blocks ``term TAB postings``; bad lines are skipped."""
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("p"), F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*$", 1).cast("int").alias("block_no"))
+    """``(block_no, term, piece_no, postings)`` of text blocks ``term TAB postings``; bad lines are skipped.
+
+    The number is that of a folder ``block_no=N``, else the last number in the file's name.
+    """
+    name = F.input_file_name()
+    number = F.coalesce(F.nullif(F.regexp_extract(name, r"block_no=(\d+)/", 1), F.lit("")), F.regexp_extract(name, r"(\d+)[^/\d]*$", 1))
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("p"), number.cast("int").alias("block_no"))
     good = lines.where((F.size("p") == 2) & (F.trim(F.get("p", F.lit(0))) != ""))
     return good.select("block_no", F.get("p", F.lit(0)).alias("term"), F.lit(0).alias("piece_no"), F.get("p", F.lit(1)).alias("postings"))
 

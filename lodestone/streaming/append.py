@@ -15,9 +15,13 @@ from lodestone.plans.search import SearchEngine
 
 
 def append_batch(passages: DataFrame, path: str, batch: int) -> None:
-    """Write the postings and document table of ``passages`` as segment ``batch``."""
-    index.write_sorted(index.postings(passages), f"{path}/postings/segment={batch}")
-    index.doc_table(passages).write.mode("overwrite").parquet(f"{path}/doc_table/segment={batch}")
+    """Write the postings and document table of ``passages`` as segment ``batch``; the batch is read once and kept meanwhile."""
+    kept = passages.persist()
+    try:
+        index.write_sorted(index.postings(kept), f"{path}/postings/segment={batch}")
+        index.doc_table(kept).write.mode("overwrite").parquet(f"{path}/doc_table/segment={batch}")
+    finally:
+        kept.unpersist()
 
 
 def start(passages: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

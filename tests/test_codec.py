@@ -13,28 +13,41 @@ def test_vectors(spark):
     df = spark.createDataFrame([(list(VECTORS),), ([],)], "n array<bigint>")
     got = [r[0] for r in df.select(codec.varbyte_hex(F.col("n"))).collect()]
     assert got == ["".join(VECTORS.values()), ""]
-    assert [x.hex().upper() for x in codec.encode_lists([np.array(list(VECTORS)), np.array([], dtype=int)])] == ["".join(VECTORS.values()), ""]
+    data, ends = codec.encode_numbers(np.array(list(VECTORS)))
+    assert data.tobytes().hex().upper() == "".join(VECTORS.values()) and ends[-1] == len(data)
 
 
-def test_truncated_and_counted():
-    assert codec.decode_bytes(b"\x82") == [2]
-    assert codec.decode_bytes(b"\x05\x82\x2c\x01", 2) == [5, 300]
-    assert codec.decode_bytes(b"") == [] and codec.decode_bytes(None) == []
+def decode(*codes):
+    numbers, counts = codec.decode_numbers(np.frombuffer(b"".join(codes), dtype=np.uint8), np.cumsum([len(c) for c in codes]))
+    return [x.tolist() for x in np.split(numbers, np.cumsum(counts)[:-1])]
 
 
-@given(st.lists(st.lists(st.integers(0, 2**62), max_size=40), max_size=8))
+def test_truncated():
+    assert decode(b"\x82") == [[2]]
+    assert decode(b"\x05\x82\x2c\x01", b"", b"\x81\x82", b"\x07") == [[5, 300, 1], [], [130], [7]]
+    assert decode(b"") == [[]]
+
+
+@given(st.lists(st.lists(st.integers(0, 2**62), max_size=40), min_size=1, max_size=8))
 def test_round_trip(lists):
-    coded = codec.encode_lists([np.array(x, dtype=np.int64) for x in lists])
-    assert [codec.decode_bytes(x) for x in coded] == lists
+    codes = [codec.encode_numbers(np.array(x, dtype=np.int64))[0].tobytes() for x in lists]
+    assert decode(*codes) == lists
 
 
 def test_negative_numbers_raise(spark):
     with pytest.raises(ValueError):
-        codec.encode_lists([np.array([1, -1])])
+        codec.encode_numbers(np.array([1, -1]))
     with pytest.raises(Exception, match="negative"):
         spark.createDataFrame([([-1],)], "n array<bigint>").select(codec.varbyte_hex(F.col("n"))).collect()
 
 
+def test_header(spark):
+    df = spark.createDataFrame([(1, 300, 70_000)], "a bigint, b bigint, c bigint")
+    assert bytes(df.select(codec.list_header(F.col("a"), F.col("b"), F.col("c"))).first()[0]).hex() == "010000002c01000070110100"
+    with pytest.raises(Exception, match="out of range"):
+        df.select(codec.list_header(F.lit(1 << 32), F.col("b"), F.col("c"))).collect()
+
+
 def test_lists_through_spark(spark):
     df = spark.createDataFrame([([3, 70_000, 70_001],), ([],), (None,)], "n array<bigint>")
     gaps = codec.delta_encode(F.col("n"), F.lit(0))

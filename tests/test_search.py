@@ -133,6 +133,40 @@ def test_command_line(spark, tmp_path, capsys):
     assert "No Results" in capsys.readouterr().out
 
 
+def test_blocks_and_merge_on_the_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    (tmp_path / "c.tsv").write_text("p0\tThe cat sat\np1\tthe dog sat on the mat\np2\tcats and dogs\n", encoding="utf-8")
+    assert cli.main(["blocks", str(tmp_path / "c.tsv"), str(tmp_path / "b"), "--max-postings", "4"], spark) == 0
+    assert cli.main(["merge", str(tmp_path / "b"), str(tmp_path / "c.tsv"), str(tmp_path / "i")], spark) == 0
+    assert {r["block_no"] for r in src.read_block_files(spark, str(tmp_path / "b")).collect()} == {0, 1, 2}
+    monkeypatch.setattr("sys.stdin", io.StringIO("sat the\n/k 1\n/mode and\nsat the\n/what\n\nnever read\n"))
+    assert cli.main(["search", str(tmp_path / "i"), "--interactive"], spark) == 0
+    out = capsys.readouterr().out
+    assert "2 of 2 results" in out and "1 of 2 results" in out and "unknown command" in out and "No Results" not in out
+    about = spark.read.json(str(tmp_path / "i/stats")).first()
+    assert about["n_docs"] == 3 and about["created"] and about["format"] == search.FORMAT
+
+
+def test_total_hits_and_lookup(spark, engine, passages):
+    assert engine.total_hits("cat the") == 3 and engine.total_hits("cat the", "and") == 1 and engine.total_hits("zzqqxx") == 0
+    again = passages.union(spark.createDataFrame([(9, "p1", "again")], passages.schema))
+    assert rows(src.lookup(again, "p1")) == [("p1", 9, "again")] and rows(src.lookup(again, "none")) == []
+
+
+def test_binary_lists(spark):
+    post = spark.createDataFrame([("t", 0, 1), ("t", 1, 2), ("t", 4, 3)], "term string, doc_id bigint, tf bigint")
+    assert [bytes(r["data"]).hex() for r in index.packed_lists(post).collect()] == ["030000000300000003000000" + "000103" + "010203"]
+
+
+def test_long_passages_are_numbered(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(100_000))
+    p = spark.createDataFrame([(0, "a", "w1 w0 w1"), (3, "b", text)], "doc_id bigint, passage_id string, text string")
+    got = index.numbered_postings(p, 5).collect()
+    assert len(got) == 5002 and max(r["block_no"] for r in got) == 1000
+    assert {(r["term"], r["tf"]) for r in got if r["block_no"] == 0} == {("w1", 2), ("w0", 1), ("w0", 20), ("w1", 20), ("w2", 20)}
+
+
 def test_stream_of_passages(spark, tmp_path):
     schema = "doc_id bigint, passage_id string, text string"
     for n, part in enumerate((CORPUS[:2], CORPUS[2:])):
