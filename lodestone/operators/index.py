@@ -33,11 +33,19 @@ def lexicon(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def doc_figures(docs: DataFrame) -> DataFrame:
+    """One row ``(n_docs, avgdl, n_tokens, one)`` from a document table."""
+    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_tokens"), F.lit(1).alias("one"))
+
+
+def lexicon_figures(lex: DataFrame) -> DataFrame:
+    """One row ``(n_terms, n_postings, one)`` from a lexicon."""
+    return lex.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.lit(1).alias("one"))
+
+
 def index_figures(docs: DataFrame, lex: DataFrame) -> DataFrame:
     """One row ``(n_docs, avgdl, n_terms, n_postings, n_tokens)`` from a document table and a lexicon."""
-    d = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_tokens"), F.lit(1).alias("one"))
-    p = lex.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.lit(1).alias("one"))
-    return d.join(p, "one").select("n_docs", "avgdl", "n_terms", "n_postings", "n_tokens")
+    return doc_figures(docs).join(lexicon_figures(lex), "one").select("n_docs", "avgdl", "n_terms", "n_postings", "n_tokens")
 
 
 def index_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
@@ -79,26 +87,27 @@ def lexicon_layout(post: DataFrame) -> DataFrame:
     return ranged.withColumn("inside", inside).join(first, "part").select("term", "doc_count", "length", (F.col("first") + F.col("inside")).alias("offset"))
 
 
-def numbered_postings(passages: DataFrame, max_postings: int) -> DataFrame:
-    """``(block_no, term, doc_id, tf)``: postings cut into blocks of ``max_postings`` in the order of doc_ids.
+def posting_numbers(passages: DataFrame, max_postings: int) -> DataFrame:
+    """``(block_no, term, doc_id)``: postings cut into blocks of ``max_postings`` in the order of doc_ids.
 
     Within a passage postings stand in order of first occurrence. The number of a passage's first posting is a running sum in levels
     of doc_ids. max_postings below 1 raises ValueError.
     """
     if max_postings < 1:
         raise ValueError("max_postings must be at least 1")
-    dealt = passages.select("doc_id", "text").repartition("doc_id")  # all that follows is grouped by doc_id and further columns
-    each = dealt.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("at", "term"))
-    counted = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.min("at").alias("at"))
-    placed = counted.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1)
-    sizes = passages.select("doc_id", F.size(F.array_distinct(tokens(F.col("text")))).alias("n_terms")).where("n_terms > 0")
-    base = before(sizes, "doc_id", "n_terms", "base").select("doc_id", "base")
-    return placed.join(base, "doc_id").select(F.floor((F.col("base") + F.col("pos")) / max_postings).cast("bigint").alias("block_no"), "term", "doc_id", "tf")
+    distinct = tokenized(passages).select("doc_id", F.array_distinct("tokens").alias("terms")).withColumn("n_terms", F.size("terms"))
+    each = before(distinct, "doc_id", "n_terms", "base").select("doc_id", "base", F.posexplode("terms").alias("pos", "term"))
+    return each.select(F.floor((F.col("base") + F.col("pos")) / max_postings).cast("bigint").alias("block_no"), "term", "doc_id")
+
+
+def numbered_postings(passages: DataFrame, max_postings: int) -> DataFrame:
+    """``(block_no, term, doc_id, tf)``: ``posting_numbers`` with frequencies."""
+    return posting_numbers(passages, max_postings).join(postings(passages), ["term", "doc_id"])
 
 
 def block_stats(passages: DataFrame, max_postings: int = 50_000) -> DataFrame:
-    """``(block_no, n_postings, n_terms)`` of the blocks of ``numbered_postings``."""
-    per_term = numbered_postings(passages, max_postings).groupBy("block_no", "term").agg(F.count("*").alias("n"))
+    """``(block_no, n_postings, n_terms)`` of the blocks of ``posting_numbers``."""
+    per_term = posting_numbers(passages, max_postings).groupBy("block_no", "term").agg(F.count("*").alias("n"))
     return per_term.groupBy("block_no").agg(F.sum("n").alias("n_postings"), F.count("*").alias("n_terms"))
 
 
