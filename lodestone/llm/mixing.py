@@ -18,6 +18,7 @@ from lodestone.operators.skew import key_quantiles
 from lodestone.operators.storage import cut
 
 MAX_SOURCES = 16  # of one mix: its sets of sources number at most 2**16
+MAX_TARGETS = 10_000  # rows of targets
 HASH_BITS = 42
 SEP = "\x1f"
 
@@ -74,14 +75,26 @@ class Flow:
             total += push
 
 
+def steps(uses: int) -> list[tuple[int, int]]:
+    """``(cost, width)`` of the uses 1, 2, ...: single ones up to 16, then bands that double, so that many repeats need few arcs."""
+    out, done = [], 0
+    while done < uses:
+        width = min(uses - done, 1 if done < 16 else done)
+        out.append((done, width))
+        done += width
+    return out
+
+
 def route(supply: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
     """``(total, flow)``: tokens from each set of sources to each source's quota.
 
     ``supply`` has the tokens of each set, ``targets`` the share and the most repeats of each source. Shares of sources without any text are
     given to the others in proportion. The total is the largest that can be met, or ``total`` if that is less. A set may be used
-    at most as often as the strictest of its sources allows.
+    at most as often as the strictest of its sources allows, which is not at all for 0.
     """
     sets = sorted({tuple(x for x in p if x in targets) for p in supply} - {()})
+    uses = {q: min(max(0, targets[x][1]) for x in q) for q in sets}
+    sets = [q for q in sets if uses[q]]
     tokens_of = {q: sum(n for p, n in supply.items() if tuple(x for x in p if x in targets) == q) for q in sets}
     present = sorted({x for q in sets for x in q if targets[x][0] > 0})
     share_sum = sum(targets[x][0] for x in present)
@@ -94,8 +107,8 @@ def route(supply: dict[tuple[str, ...], int], targets: dict[str, tuple[float, in
         place = {q: 2 + i for i, q in enumerate(sets)} | {x: 2 + len(sets) + i for i, x in enumerate(present)}
         out = {}
         for q in sets:
-            for r in range(min(max(1, targets[x][1]) for x in q)):
-                g.arc(0, place[q], tokens_of[q], r)
+            for r, width in steps(uses[q]):
+                g.arc(0, place[q], tokens_of[q] * width, r)
             for x in q:
                 if x in quota:
                     out[q, x] = g.arc(place[q], place[x], 1 << 60, 0)
@@ -105,7 +118,7 @@ def route(supply: dict[tuple[str, ...], int], targets: dict[str, tuple[float, in
         flow = {k: (1 << 60) - g.arcs[a][i].capacity for k, (a, i) in out.items()}
         return done == sum(quota.values()), {k: v for k, v in flow.items() if v > 0}
 
-    high = sum(tokens_of[q] * min(max(1, targets[x][1]) for x in q) for q in sets)
+    high = sum(tokens_of[q] * uses[q] for q in sets)
     low, high = 0, high if total is None else min(high, total)
     if solve(high)[0]:
         low = high
@@ -131,13 +144,16 @@ def texts_by_sources(docs: DataFrame, id_col: str, text_col: str, source_col: st
 def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: int | None = None, seed: int = 1, path: str = tokens.VOCABULARY) -> DataFrame:
     """``(mix_id, doc_id, source, uses, n_tokens)``: how often each selected document is used, and for which source.
 
-    ``targets`` has mix_id, source, target_share and max_repeats; its rows are few and at most MAX_SOURCES a mix. Texts fetched several times are one
+    ``targets`` has mix_id, source, target_share and max_repeats (null: 1, 0: not to be used); more than MAX_TARGETS rows, or MAX_SOURCES in a mix, raise
+    ValueError. Texts fetched several times are one
     text, counted for one of its sources at a time. Texts that are null or empty or whose source is null are not used; equal ids
     are different documents if their texts differ. A mix of which no source occurs gives no rows.
     """
     wanted: dict[int, dict[str, tuple[float, int]]] = {}
-    for r in targets.select("mix_id", "source", "target_share", "max_repeats").dropna(subset=["mix_id", "source", "target_share"]).limit(10_000).collect():
-        wanted.setdefault(r["mix_id"], {})[r["source"]] = (r["target_share"], r["max_repeats"] or 1)
+    for r in targets.select("mix_id", "source", "target_share", "max_repeats").dropna(subset=["mix_id", "source", "target_share"]).limit(MAX_TARGETS + 1).collect():
+        wanted.setdefault(r["mix_id"], {})[r["source"]] = (r["target_share"], 1 if r["max_repeats"] is None else r["max_repeats"])
+    if sum(map(len, wanted.values())) > MAX_TARGETS:
+        raise ValueError(f"at most {MAX_TARGETS} targets")
     if any(len(t) > MAX_SOURCES for t in wanted.values()):
         raise ValueError(f"a mix may have {MAX_SOURCES} sources")
     spark = docs.sparkSession

@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity: hierarchical residual packing.
 
 Partitions of items are packed by best fit, largest first. Containers that are full or nearly so are done; the others go on as
-items whose size is their content, are merged into fewer partitions and packed again, until one partition is left or a round
-no longer saves containers. A task never gets more than ``per_task`` items.
+items whose size is their content, are merged into fewer partitions and packed again, FAN_IN partitions into one, until one is left or a
+round no longer saves containers. The tree's leaves are the partitions that the items come in, whatever their number.
 """
 
 from __future__ import annotations
@@ -60,11 +60,12 @@ def _pack(keys: np.ndarray, sizes: np.ndarray, capacity: int, level: int, task:
     return ids, content[bins]
 
 
-def pack(items: DataFrame, specs: list[tuple[int, int]], per_task: int = 100_000) -> DataFrame:
+def pack(items: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
     """``(spec_id, container_id, item_id, part_no, start, n_tokens)`` for ``items(item_id, n_tokens)`` and ``specs`` (spec_id, capacity).
 
     An item of at most the capacity is one part, a larger one as many full containers as it fills and a rest, which is packed like an item.
-    Items without tokens, null sizes and null ids are left out. Equal items and repeated ids are packed each for itself. An empty table or no specs give no rows.
+    Items without tokens, null sizes and null ids are left out. Equal items and repeated ids are packed each for itself. An empty table or no specs give no rows;
+    more than 200 specs, a capacity above MAX_CAPACITY or two for one spec_id raise ValueError.
     """
     specs = sorted({(int(s), int(c)) for s, c in specs if s is not None and c is not None and c > 0})
     if len(specs) > 200 or any(c > MAX_CAPACITY for _, c in specs):
@@ -72,14 +73,13 @@ def pack(items: DataFrame, specs: list[tuple[int, int]], per_task: int = 100_000
     order = {s: k for k, s in enumerate(dict.fromkeys(s for s, _ in specs))}
     if len(order) < len(specs):
         raise ValueError("a spec_id has two capacities")
-    items = cut(items.select(F.col("item_id").cast("bigint"), F.col("n_tokens").cast("bigint")).where("item_id is not null and n_tokens > 0"))
-    n = items.count()
+    items = items.select(F.col("item_id").cast("bigint"), F.col("n_tokens").cast("bigint")).where("item_id is not null and n_tokens > 0")
     schema = "spec_id int, bin bigint, content bigint, item_id bigint, part_no bigint, start bigint, n_tokens bigint"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int32(), *[pa.int64()] * 6]
 
     def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(it)  # per_task items or so
+        batches = list(it)  # the items of a split: their ids and sizes
         if not batches:
             return
         task = TaskContext.get().partitionId()
@@ -102,7 +102,7 @@ def pack(items: DataFrame, specs: list[tuple[int, int]], per_task: int = 100_000
 
     def again(level: int):
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            batches = list(it)  # per_task rows or so
+            batches = list(it)  # open containers
             if not batches:
                 return
             pdf = pd.concat(batches, ignore_index=True)
@@ -116,23 +116,21 @@ def pack(items: DataFrame, specs: list[tuple[int, int]], per_task: int = 100_000
 
         return run
 
-    tasks = max(1, -(-n // per_task))
-    # dealt by row, as one item can be repeated on most of them; the rows are written, so their numbers stay
-    dealt = items.withColumn("row", F.monotonically_increasing_id()).repartition(tasks, "row").drop("row")
-    placed = cut(dealt.mapInArrow(first, schema))
+    placed = cut(items.mapInArrow(first, schema))
+    tasks = 1 + (placed.agg(F.max(F.shiftright("bin", 30).bitwiseAND((1 << 20) - 1))).first()[0] or 0)
     caps = dict(specs)
     limit = F.coalesce(*[F.when(F.col("spec_id") == s, F.lit(int(NEARLY_FULL * c))) for s, c in caps.items()]) if caps else F.lit(0)
     open_ = placed.where(F.col("content") < limit)
     under = cut(open_.groupBy("spec_id", "bin").agg(F.max("content").alias("content")))
     moves: list[DataFrame] = []
-    level, count = 1, under.count() if tasks > 1 else 0
-    while count and tasks > 1 and level < 30:
-        tasks = max(-(-tasks // FAN_IN), -(-count // per_task))
+    level, count = 1, under.count()
+    while count:
+        tasks = -(-tasks // FAN_IN)
         moved = cut(under.repartition(tasks, F.xxhash64("bin", F.lit(level))).mapInPandas(again(level), "spec_id int, old bigint, bin bigint, content bigint"))
         moves.append(moved)
         under = cut(moved.where(F.col("content") < limit).groupBy("spec_id", "bin").agg(F.max("content").alias("content")))
         before, count = count, under.count()
-        if tasks > 1 and count > 0.98 * before:
+        if tasks == 1 or count > 0.98 * before:
             break
         level += 1
     final = placed.where(F.col("content") >= limit).select("spec_id", "bin", "item_id", "part_no", "start", "n_tokens")
@@ -142,14 +140,14 @@ def pack(items: DataFrame, specs: list[tuple[int, int]], per_task: int = 100_000
     return final.unionByName(rest).select("spec_id", F.col("bin").alias("container_id"), "item_id", "part_no", "start", "n_tokens")
 
 
-def containers(docs: DataFrame, spec: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = tokens.VOCABULARY, per_task: int = 100_000) -> DataFrame:
+def containers(docs: DataFrame, spec: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = tokens.VOCABULARY) -> DataFrame:
     """``pack`` of the texts of ``docs``, for every row of ``spec(spec_id, capacity_tokens)``; item_id is the document's id.
 
     The parts of a text are ranges of its tokens, [start, start + n_tokens). Null and empty texts take no space and no row.
     """
     sizes = tokens.sized(docs.where(F.col(text_col).isNotNull()), [id_col], text_col, path)
     rows = [(r[0], r[1]) for r in spec.select("spec_id", "capacity_tokens").limit(201).collect()]
-    return pack(sizes.select(F.col(id_col).alias("item_id"), "n_tokens"), rows, per_task)
+    return pack(sizes.select(F.col(id_col).alias("item_id"), "n_tokens"), rows)
 
 
 def summary(assigned: DataFrame, spec: DataFrame) -> DataFrame:

@@ -9,8 +9,13 @@ from lodestone.llm import encodings, mixing, near_duplicates, packing, templates
 from lodestone.sources.collection import read_table
 
 
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table whose texts Python works on, dealt to all cores."""
+    return read_table(spark, d, name, spark.sparkContext.defaultParallelism)
+
+
 def _types(spark: SparkSession, d: str) -> DataFrame:
-    return text_types.text_types(*(read_table(spark, d, x) for x in ("passage_collection", "doc_table", "common_words")))
+    return text_types.text_types(_table(spark, d, "passage_collection"), read_table(spark, d, "doc_table"), read_table(spark, d, "common_words"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +28,7 @@ def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _restored(spark: SparkSession, d: str) -> DataFrame:
-    return encodings.restored(read_table(spark, d, "passage_collection"), read_table(spark, d, "common_words"))
+    return encodings.restored(_table(spark, d, "passage_collection"), read_table(spark, d, "common_words"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,17 +42,17 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of passages with at least 10 runs of three tokens each, of which 0.6 of the runs in either or both are common."""
-    return near_duplicates.duplicate_pairs(read_table(spark, d, "passage_collection"), "doc_id", "passage_text", width=3, share=0.6, min_runs=10)
+    return near_duplicates.duplicate_pairs(_table(spark, d, "passage_collection"), "doc_id", "passage_text", width=3, share=0.6, min_runs=10)
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each passage with its group and the number of links of its class."""
-    return near_duplicates.duplicate_groups(read_table(spark, d, "passage_collection"), "doc_id", "passage_text", width=3, share=0.6, min_runs=10)
+    return near_duplicates.duplicate_groups(_table(spark, d, "passage_collection"), "doc_id", "passage_text", width=3, share=0.6, min_runs=10)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    t = terms.distinctive_terms(read_table(spark, d, "block"), read_table(spark, d, "doc_table"), min_tf=3)
-    return t.where("df >= 2 and weight >= 0.05D").select("doc_id", "term")
+    t = terms.distinctive_terms(read_table(spark, d, "block"), read_table(spark, d, "doc_table"))
+    return t.where("tf >= 3 and df >= 2 and weight >= 0.05D").select("doc_id", "term")
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +73,7 @@ def p7_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of its parts, for each container size."""
-    return packing.containers(read_table(spark, d, "documents"), read_table(spark, d, "container_spec")).withColumnRenamed("item_id", "doc_id")
+    return packing.containers(_table(spark, d, "documents"), read_table(spark, d, "container_spec")).withColumnRenamed("item_id", "doc_id")
 
 
 def p8_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +83,7 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each mix and how often each is used."""
-    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+    return mixing.mix(_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -87,12 +92,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return templates.template_residue(read_table(spark, d, "documents"), site_col="site").select(F.col("id").alias("doc_id"))
+    return templates.template_residue(_table(spark, d, "documents"), site_col="site").select(F.col("id").alias("doc_id"))
 
 
 def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     """Documents without template residue."""
-    return templates.without_residue(read_table(spark, d, "documents"), site_col="site").select("doc_id", "lang", "source", "n_chars")
+    return templates.without_residue(_table(spark, d, "documents"), site_col="site").select("doc_id", "lang", "source", "n_chars")
 
 
 QUERIES = {"p8_containers": p8_containers, "p8_summary": p8_summary, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p2_restored": p2_restored, "p10_found": p10_found, "p10_clean": p10_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, packing, tokens
 
+TABLES = Path("/root/testdata/sf0.01")
 needs_vocabulary = pytest.mark.skipif(not Path(tokens.VOCABULARY).exists(), reason="needs the vocabulary file")
 
 
@@ -26,12 +27,12 @@ def test_best_fit(sizes):
     assert len(content) <= math.ceil(11 / 9 * math.ceil(sum(sizes) / 50) + 6 / 9) + 1 or max(sizes) * 2 > 50
 
 
-@pytest.mark.parametrize("per_task", [50, 100_000])
-def test_packing(spark, per_task):
+@pytest.mark.parametrize("leaves", [1, 3, 40])
+def test_packing(spark, leaves):
     rng = random.Random(4)
     items = [(i, rng.randint(1, 700)) for i in range(600)] + [(7, 100), (7, 100), (1000, 0), (1001, None), (None, 5), (1002, 512), (1003, 100_000)]
-    df = spark.createDataFrame(items, "item_id bigint, n_tokens bigint").withColumn("bin", F.lit("x"))
-    got = packing.pack(df, [(1, 256), (2, 512), (2, 512), (3, None), (None, 4)], per_task).collect()
+    df = spark.createDataFrame(items, "item_id bigint, n_tokens bigint").withColumn("bin", F.lit("x")).repartition(leaves)
+    got = packing.pack(df, [(1, 256), (2, 512), (2, 512), (3, None), (None, 4)]).collect()
     total = sum(n for i, n in items if i is not None and n)
     for spec, cap in ((1, 256), (2, 512)):
         own = [r for r in got if r["spec_id"] == spec]
@@ -51,6 +52,16 @@ def test_packing(spark, per_task):
     assert packing.pack(df.where("false"), [(1, 256)]).count() == 0 and packing.pack(df, []).count() == 0
 
 
+@needs_vocabulary
+@pytest.mark.skipif(not TABLES.exists(), reason="needs the test tables")
+def test_containers_of_the_middle_tables_come_from_several_levels(spark):
+    from lodestone.llm import registry
+
+    got = registry.p8_containers(spark, str(TABLES)).cache()
+    assert {r[0] for r in got.select(F.shiftright("container_id", 58)).distinct().collect()} >= {0, 1}
+    assert all(r["fill"] >= 0.99 for r in packing.summary(got, spark.read.parquet(f"{TABLES}/container_spec.parquet")).collect())
+
+
 def test_two_capacities_for_one_spec(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 2)], "item_id bigint, n_tokens bigint"), [(1, 5), (1, 6)])
@@ -74,6 +85,8 @@ def test_routing():
     total, flow = mixing.route({("a",): 100, ("b",): 10}, {"a": (0.5, 1), "b": (0.5, 3), "gone": (0.4, 2)})
     assert total == pytest.approx(60, abs=2) and flow[("b",), "b"] == pytest.approx(30, abs=1)
     assert mixing.route({("a",): 5}, {"z": (1.0, 1)}) == (0, {}) and mixing.route({}, {"z": (1.0, 1)}) == (0, {})
+    assert mixing.route({("a",): 100, ("b",): 50}, {"a": (0.5, 0), "b": (0.5, 2)}) == (100, {(("b",), "b"): 100}) and mixing.route({("a",): 100}, {"a": (1.0, 0)}) == (0, {})
+    assert mixing.route({("a",): 100}, {"a": (1.0, 1000)})[0] == pytest.approx(100_000, abs=1) and sum(w for _, w in mixing.steps(1000)) == 1000
     assert mixing.route({("a",): 100}, {"a": (1.0, 2)}, total=30)[0] == pytest.approx(30, abs=1)
 
 

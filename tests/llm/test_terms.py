@@ -39,18 +39,40 @@ def brute():
 def test_scores_against_brute_force(tables):
     block, docs, _ = tables
     for least in (1, 3):
-        got = {(r["doc_id"], r["term"]): (r["tf"], r["df"], r["cf"], round(r["residual_idf"], 9), round(r["score"], 9), None if r["weight"] is None else round(r["weight"], 9)) for r in terms.distinctive_terms(block, docs, least).collect()}
+        got = {(r["doc_id"], r["term"]): (r["tf"], r["df"], r["cf"], round(r["residual_idf"], 9), round(r["score"], 9), None if r["weight"] is None else round(r["weight"], 9)) for r in terms.distinctive_terms(block, docs).where(f"tf >= {least}").collect()}
         assert got == {k: v for k, v in brute().items() if v[0] >= least}
 
 
 def test_bitmaps_and_marks(tables):
     block, docs, lexicon = tables
-    words = {(r["term"], r["block_no"], r["word"]): (r["bits"], r["occurrences"]) for r in terms.term_bitmaps(block).collect()}
-    assert words["aa", 0, 0] == (0b111, 5) and words["aa", 1, 1] == (1 << 6, 5)
+    maps = {(r["term"], r["block_no"]): (bytes(r["words"]).hex(), bytes(r["bits"]).hex(), r["occurrences"]) for r in terms.term_bitmaps(block).collect()}
+    assert maps["aa", 0] == ("00000000", "0000000000000007", 5) and maps["aa", 1] == ("00000000", "0000000000000040", 5)
     got = {r["term"]: (r["df"], r["occurrences"], r["lexicon_df"], r["mark"]) for r in terms.term_frequencies(block, lexicon, docs).collect()}
     assert got == {"aa": (4, 10, 4, "common"), "bb": (2, 5, 2, "rare"), "cc": (1, 2, None, "rare"), "ee": (1, 1, None, "rare"), "zz": (None, None, None, None), "ff": (None, None, 3, "common")}
 
 
+def test_a_document_in_two_pieces_counts_once(spark, tables):
+    block = spark.createDataFrame([(0, "aa", 0, "3:1,130:2"), (0, "aa", 1, "3:4,63:1,127:1")], "block_no int, term string, piece_no int, postings string")
+    r = terms.term_bitmaps(block).first()
+    assert bytes(r["words"]).hex() == "00000000" + "00000001" + "00000002" and bytes(r["bits"]).hex() == "8000000000000008" + "8000000000000000" + "0000000000000004"
+    assert [(x["df"], x["occurrences"]) for x in terms.term_frequencies(block, tables[2].where("false"), tables[1]).collect()] == [(4, 9)]
+
+
+def test_residual_scores_of_the_found_terms(spark):
+    """The rows of p6_found are rows of p6_scores, of terms that crowd into few documents or are rare."""
+    from conftest import DATA
+
+    from lodestone.llm import registry
+
+    if not DATA.exists():
+        pytest.skip("needs the test tables")
+    scores = {(r["doc_id"], r["term"]): r for r in registry.p6_scores(spark, str(DATA)).collect()}
+    found = {(r["doc_id"], r["term"]) for r in registry.p6_found(spark, str(DATA)).collect()}
+    assert found and found <= set(scores)
+    mean = lambda keys: sum(scores[k]["residual_idf"] for k in keys) / len(keys)
+    assert mean(found) > mean(set(scores) - found)
+
+
 def test_empty_tables(tables):
     block, docs, lexicon = (t.where("false") for t in tables)
     assert terms.distinctive_terms(block, docs).count() == 0
