@@ -27,6 +27,11 @@ def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _types(spark, d)
 
 
+def p1_accuracies(spark: SparkSession, d: str) -> DataFrame:
+    """The learned share of each text type and how each labelling function votes on it."""
+    return text_types.accuracies(_table(spark, d, "passage_collection"), read_table(spark, d, "doc_table"), read_table(spark, d, "common_words"))
+
+
 def _restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restored(_table(spark, d, "passage_collection"), read_table(spark, d, "common_words"))
 
@@ -100,7 +105,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
     return templates.without_residue(_table(spark, d, "documents"), site_col="site").select("doc_id", "lang", "source", "n_chars")
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_summary": p8_summary, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p1_statistics": p1_statistics, "p2_found": p2_found, "p2_restored": p2_restored, "p10_found": p10_found, "p10_clean": p10_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
+QUERIES = {"p8_containers": p8_containers, "p8_summary": p8_summary, "p9_selection": p9_selection, "p9_shares": p9_shares, "p1_found": p1_found, "p1_statistics": p1_statistics, "p1_accuracies": p1_accuracies, "p2_found": p2_found, "p2_restored": p2_restored, "p10_found": p10_found, "p10_clean": p10_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found, "p7_frequencies": p7_frequencies}
 
 _ENTRIES = """e AS (SELECT term, CAST(split_part(x, ':', 1) AS BIGINT) AS doc_id, CAST(split_part(x, ':', 2) AS BIGINT) AS tf FROM (SELECT term, unnest(string_split(postings, ',')) AS x
   FROM (SELECT DISTINCT block_no, term, piece_no, postings FROM block WHERE block_no IS NOT NULL AND term IS NOT NULL AND piece_no IS NOT NULL AND postings IS NOT NULL))),
