@@ -521,7 +521,7 @@ def components(links: DataFrame) -> DataFrame:
 def duplicate_groups(table: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: float = 0.8, min_runs: int = 1) -> DataFrame:
     """``(doc_id, group, n_links)``, a row for each passage: the group it is connected to, named by its smallest doc_id, and its class's links.
 
-    A passage with too few runs, or without text, is a group of its own.
+    A passage with too few runs, or without text, is a group of its own. An id with several texts has the first of their groups and most links.
     """
     members, links = class_pairs(table, id_col, text_col, width, share, min_runs)
     groups = components(links)
@@ -529,5 +529,6 @@ def duplicate_groups(table: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids = table.select(F.col(id_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     placed = members.withColumnRenamed("id", "doc_id").join(groups.select(F.col("doc_id").alias("cls"), "group"), "cls", "left").withColumn("group", F.coalesce("group", "cls"))
     names = placed.groupBy("group").agg(F.min("doc_id").alias("name"))
-    out = ids.join(placed.join(names, "group").join(degree, "cls", "left").dropDuplicates(["doc_id"]), "doc_id", "left")
+    named = placed.join(names, "group").join(degree, "cls", "left").groupBy("doc_id").agg(F.min("name").alias("name"), F.max("n_links").alias("n_links"))
+    out = ids.join(named, "doc_id", "left")
     return out.select("doc_id", F.coalesce("name", "doc_id").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

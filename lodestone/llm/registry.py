@@ -115,7 +115,13 @@ _LENGTH = """len AS (SELECT doc_id, length FROM (SELECT doc_id, length, row_numb
 _LEX = """lex AS (SELECT term, CAST(sum(doc_count) AS BIGINT) AS lexicon_df FROM (SELECT term, doc_count, row_number() OVER (PARTITION BY block_no, term ORDER BY written_at DESC) AS r FROM lexicon
   WHERE term IS NOT NULL AND block_no IS NOT NULL) WHERE r = 1 GROUP BY term)"""
 
+_RUNS = """toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(passage_text, '')), '[a-z0-9]+'), lambda x: length(x) between 2 and 20) AS t FROM passage_collection),
+r AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' '))) AS run FROM toks WHERE len(t) >= 3),
+n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id HAVING count(*) >= 10)"""
+
 ORACLE = {
+    "p3_found": f"""WITH {_RUNS}, c AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS common FROM r a JOIN r b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_id_a, doc_id_b FROM c JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b WHERE common * 10 >= 6 * (x.n + y.n - common)""",
     "p6_found": f"WITH {_ENTRIES}, {_LENGTH} SELECT doc_id, term FROM e JOIN s USING (term) JOIN len USING (doc_id), n WHERE tf >= 3 AND df >= 2 AND (tf / length) * ln(n / df) / ln(n) >= CAST(0.05 AS DOUBLE)",
     "p6_scores": f"""WITH {_ENTRIES}, r AS (SELECT doc_id, term, tf, df, cf, ln(n / df) + ln(CAST(1 AS DOUBLE) - exp(-cf / n)) AS ridf FROM e JOIN s USING (term), n)
 SELECT doc_id, term, tf, df, cf, round(ridf, 6) AS residual_idf, round(tf * ridf, 5) AS score FROM r""",
