@@ -108,15 +108,15 @@ def varbyte_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def packed_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The postings after packing into variable-byte lists and unpacking."""
-    return index.unpacked_postings(index.packed_postings(_post(spark, d)))
+    return index.unpacked_postings(index.packed_postings(_engine(spark, d).postings))
 
 
 def cursor_next(spark: SparkSession, d: str) -> DataFrame:
-    return index.next_doc(_post(spark, d), "valve", 100)
+    return index.next_doc(_engine(spark, d).postings, "valve", 100)
 
 
 def cursor_seek(spark: SparkSession, d: str) -> DataFrame:
-    return index.seek(_post(spark, d), "valve", 100)
+    return index.seek(_engine(spark, d).postings, "valve", 100)
 
 
 def _top(query: str, mode: str, k: int = 10) -> Query:
@@ -177,7 +177,7 @@ def text_block_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def packed_lists(spark: SparkSession, d: str) -> DataFrame:
     """Header and length of each part of a list in the binary form."""
-    lists = index.packed_lists(_post(spark, d))
+    lists = index.packed_lists(_engine(spark, d).postings)
     return lists.select("term", "span_no", F.hex(F.substring("data", 1, 12)).alias("header"), F.octet_length("data").cast("bigint").alias("bytes"))
 
 
@@ -221,7 +221,7 @@ def snippet_hits(spark: SparkSession, d: str) -> DataFrame:
 def index_layout_size(spark: SparkSession, d: str) -> DataFrame:
     """The bytes of the packed index, of its three parts and of the collection's text."""
     p = _passages(spark, d)
-    lay = index.lexicon_layout(index.postings(p)).agg(F.sum("length").alias("list_bytes"), F.sum(F.octet_length("term") + 24).alias("lexicon_bytes"), F.lit(1).alias("one"))
+    lay = index.lexicon_layout(_engine(spark, d).postings).agg(F.sum("length").alias("list_bytes"), F.sum(F.octet_length("term") + 24).alias("lexicon_bytes"), F.lit(1).alias("one"))
     docs = p.where(text.has_token(F.col("text")))
     tab = docs.agg(F.sum(F.coalesce(F.octet_length("passage_id"), F.lit(0)) + 12).alias("doc_table_bytes"), F.sum(F.octet_length("text")).alias("text_bytes"), F.lit(1).alias("one"))
     return lay.join(tab, "one").drop("one")
@@ -250,6 +250,11 @@ def p5_rejected(spark: SparkSession, d: str) -> DataFrame:
     return raw_lines.rejected(src.read_table(spark, d, "collection_raw", spark.sparkContext.defaultParallelism))
 
 
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Invalid lines with the reason alone."""
+    return p5_rejected(spark, d).select("line_no", "reason")
+
+
 QUERIES: dict[str, Query] = {
     "collection_scan": collection_scan,
     "tokenize_documents": tokenize_documents,
@@ -259,8 +264,8 @@ QUERIES: dict[str, Query] = {
     "lexicon": lambda s, d: index.lexicon(_post(s, d)),
     "index_stats": index_stats,
     "idf_table": idf_table,
-    "delta_postings": lambda s, d: index.delta_postings(_post(s, d)),
-    "lexicon_layout": lambda s, d: index.lexicon_layout(_post(s, d)),
+    "delta_postings": lambda s, d: index.delta_postings(_engine(s, d).postings),
+    "lexicon_layout": lambda s, d: index.lexicon_layout(_engine(s, d).postings),
     "index_layout_size": index_layout_size,
     "block_stats": lambda s, d: index.block_stats(_passages(s, d), 50_000),
     "block_reader": block_reader,
@@ -299,6 +304,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_loaded": p5_loaded,
     "p5_rejected": p5_rejected,
+    "p5_reasons": p5_reasons,
 }
 
 _TOK = "list_filter(regexp_extract_all(lower(coalesce(passage_text, '')), '[a-z0-9]+'), lambda x: length(x) between 2 and 20)"
@@ -361,7 +367,7 @@ _RAW = r"""parsed AS (SELECT line_no, raw_line,
     regexp_extract(raw_line, '^("([^"]|"")*"|[^"\t][^\t]*|)\t("([^"]|"")*"|[^"\t][^\t]*|)$', 3, 's') AS b FROM collection_raw),
 fields AS (SELECT line_no, shaped AND raw_line IS NOT NULL AS shaped,
     CASE WHEN a[1] = '"' THEN replace(a[2:-2], '""', '"') ELSE a END AS pid, CASE WHEN b[1] = '"' THEN replace(b[2:-2], '""', '"') ELSE b END AS txt FROM parsed),
-judged AS (SELECT line_no, pid, txt, shaped AND regexp_full_match(pid, '[0-9]{1,9}') AND NOT regexp_matches(txt, '[\x00-\x08\x0a-\x1f\x7f\x{FFFD}]')
+judged AS (SELECT line_no, pid, txt, shaped, shaped AND regexp_full_match(pid, '[0-9]{1,9}') AND NOT regexp_matches(txt, '[\x00-\x08\x0a-\x1f\x7f\x{FFFD}]')
     AND regexp_matches(txt, '[^ \t\x{A0}]') AS ok FROM fields)"""
 
 _BLOCKS = f"""WITH {_BASE},
@@ -433,5 +439,11 @@ SELECT term, span_no, {" || ".join(f"lpad(hex(({x} >> {b}) & 255), 2, '0')" for
 q AS (SELECT term, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS sum_tf, quantile_disc(tf, 0.5) AS tf_50, quantile_disc(tf, 0.9) AS tf_90, quantile_disc(tf, 0.99) AS tf_99 FROM e GROUP BY term)
 SELECT r.term, n_rows, coalesce(n_postings, 0) AS n_postings, coalesce(sum_tf, 0) AS sum_tf, coalesce(tf_50, 0) AS tf_50, coalesce(tf_90, 0) AS tf_90, coalesce(tf_99, 0) AS tf_99 FROM r LEFT JOIN q USING (term) WHERE term IS NOT NULL""",
     "p5_found": f"WITH {_RAW} SELECT line_no FROM judged WHERE ok IS NOT TRUE",
+    "p5_reasons": rf"""WITH {_RAW} SELECT line_no, CASE WHEN raw_line IS NULL THEN 'null line'
+  WHEN regexp_full_match(raw_line, '(("([^"]|"")*"|[^"\t][^\t]*|)\t)*"([^"]|"")*', 's') AND NOT regexp_full_match(raw_line, '(("([^"]|"")*"|[^"\t][^\t]*|)\t)*("([^"]|"")*"|[^"\t][^\t]*|)', 's') THEN 'unclosed quote'
+  WHEN NOT regexp_full_match(raw_line, '(("([^"]|"")*"|[^"\t][^\t]*|)\t)*("([^"]|"")*"|[^"\t][^\t]*|)', 's') THEN 'text after closing quote'
+  WHEN NOT shaped THEN 'wrong number of fields' WHEN NOT regexp_full_match(pid, '[0-9]{{1,9}}') THEN 'bad passage_id'
+  WHEN regexp_matches(txt, '[\x00-\x08\x0a-\x1f\x7f\x{{FFFD}}]') THEN 'bad character' ELSE 'blank passage_text' END AS reason
+  FROM judged JOIN (SELECT line_no, raw_line FROM collection_raw) USING (line_no) WHERE ok IS NOT TRUE""",
     "p5_loaded": f"WITH {_RAW} SELECT line_no, CAST(pid AS BIGINT) AS passage_id, txt AS passage_text FROM judged WHERE ok",
 }
