@@ -13,6 +13,7 @@ from lodestone.operators.storage import cut
 
 HEAVY_SHARE = 0.005  # a key with this share of the rows is heavy; there are at most 1 / HEAVY_SHARE of them
 SIGN = -(1 << 63)
+SMALL = 1_000_000  # keys of 8 bytes that may be broadcast
 
 
 def heavy_keys(counts: DataFrame, key: str, n: str, share: float = HEAVY_SHARE) -> list:
@@ -35,6 +36,12 @@ def skew_join(rows: DataFrame, per_key: DataFrame, key: str, heavy: list, how: s
     return a.unionByName(b)
 
 
+def semi_join(rows: DataFrame, keys: DataFrame, key: str, most: int = SMALL) -> DataFrame:
+    """``rows`` whose ``key`` is among ``keys(key)``. Keys are counted first: up to ``most`` are broadcast, which spares ``rows`` the shuffle; more are shuffled."""
+    held = cut(keys.select(key).dropna().distinct())
+    return rows.join(F.broadcast(held) if held.count() <= most else held, key, "left_semi")
+
+
 def salted_join(rows: DataFrame, per_key: DataFrame, key: str, heavy: list, spread: str, parts: int = 32) -> DataFrame:
     """The inner join on ``key`` where per_key can hold many rows of a heavy key, too many to broadcast.
 

@@ -60,6 +60,13 @@ def test_salted_join_is_a_join(spark):
     assert rows(skew.salted_join(a, b, "k", ["h"], "v")) == rows(a.join(b, "k")) == rows(skew.salted_join(a, b, "k", [], "v"))
 
 
+def test_semi_join_is_a_semi_join(spark):
+    a = spark.createDataFrame([(i % 7, i) for i in range(40)] + [(None, 1)], "k bigint, v int")
+    b = spark.createDataFrame([(1, 0), (1, 0), (5, 0), (99, 0), (None, 0)], "k bigint, w int")
+    want = rows(a.join(b, "k", "left_semi"))
+    assert rows(skew.semi_join(a, b, "k")) == rows(skew.semi_join(a, b, "k", most=2)) == want
+
+
 def test_running_sums(spark):
     data = [(i * i * 3001 % 40_000_003, i % 7) for i in range(900)]
     data = list({k: (k, v) for k, v in data}.values())
