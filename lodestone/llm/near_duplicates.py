@@ -52,17 +52,23 @@ def _sets(ids: np.ndarray, texts: pa.Array, width: int, min_runs: int) -> tuple[
 
 
 def _minima(runs: np.ndarray, at: np.ndarray, parts: range) -> np.ndarray:
-    """Min-hashes of each row, 32 bits each, BANDS x parts x rows: of the runs that a band deals to the part, all ones where there are none."""
-    h = (mix(runs) >> np.uint64(16)).astype(np.uint32)
+    """Min-hashes of each row, 32 bits each, BANDS x parts x rows: of the runs that a band deals to the part, of all runs where these are none.
+
+    Rows whose other parts agree thus agree in an empty one too, and small sets do not all fall into one shard.
+    """
+    h, none = (mix(runs) >> np.uint64(16)).astype(np.uint32), np.uint32(0xFFFFFFFF)
     out = np.empty((BANDS, len(parts), len(at)), dtype=np.uint32)
     for lo in range(0, len(at), BLOCK):  # small enough for a core's own memory
         first = at[lo]
-        x = h[first : at[lo + BLOCK] if lo + BLOCK < len(at) else len(h)]
+        x, rows = h[first : at[lo + BLOCK] if lo + BLOCK < len(at) else len(h)], at[lo : lo + BLOCK] - first
         for j in range(BANDS):
             u = x * _SEEDS[j, 0] + _SEEDS[j, 1]
             part = ((u & np.uint32(0xFFFF)) * np.uint32(3)) >> np.uint32(16)
             for i, k in enumerate(parts):
-                np.minimum.reduceat(u | -(part != k).astype(np.uint32), at[lo : lo + BLOCK] - first, out=out[j, i, lo : lo + BLOCK])
+                np.minimum.reduceat(u | -(part != k).astype(np.uint32), rows, out=out[j, i, lo : lo + BLOCK])
+            empty = (found := out[j, :, lo : lo + BLOCK]) == none
+            if empty.any():
+                np.copyto(found, np.minimum.reduceat(u, rows)[None, :], where=empty)
     return out
 
 

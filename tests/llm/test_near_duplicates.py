@@ -145,6 +145,14 @@ def test_candidates(spark, monkeypatch, part):
     assert rows(nd.group_pairs(nd.groups_of(df), maps, 0.6)) == sorted(want)
 
 
+def test_many_small_sets_share_no_shard(spark):
+    data = [(i, f"aa{i} bb{i} cc{i}") for i in range(3000)] + [(5000 + i, f"xx{i} yy{i} zz{i} uu{i}") for i in range(300)] + [(6000, "aa7 bb7 cc7"), (6001, "xx7 yy7 zz7 uu7 vv7")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert rows(nd.duplicate_pairs(df, width=3, share=0.6)) == [(7, 6000), (5007, 6001)]
+    texts = nd.prepared(df, "doc_id", "text")
+    assert nd.groups_of(nd.shard_rows(texts, 3, 1, nd.key_counts(texts, 3, 1))).count() < 200
+
+
 def test_maps_leave_out_no_case(spark):
     df = spark.createDataFrame(corpus(40, 8), "doc_id bigint, text string")
     maps = nd.class_maps(df, 3, 10)
