@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -17,8 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.storage import cut
+
 SAMPLE = 6000  # passages that dictionaries are trained on, at most
 DICT_BYTES = 32 << 10
+UNIT_WORDS, WORD_CHARS = 4, 64  # of a unit that is counted; longer runs make several units
+DICT_UNITS = DICT_BYTES  # units that a dictionary is made of: a byte each, more than it holds
+SPELLED = 300_000  # units of the text that a dictionary is trained on, which has them in proportion to their counts
+HELD = 200_000  # different units that a task counts before it passes counts on, and words whose marks it remembers
 # Single-byte code pages that UTF-8 is misread with; undefined bytes stand for themselves.
 PAGES = ("cp1252", "latin-1", "cp437", "cp850", "cp1250", "cp1251", "mac_roman", "cp866", "koi8_r", "cp852", "mac_cyrillic", "iso8859_5", "cp1253", "cp1254", "iso8859_15")
 MULTI = ("shift_jis", "gbk", "big5", "euc_kr", "euc_jp")
@@ -249,9 +257,34 @@ def restore(text: str, describer: Describer, depth: int = 3) -> tuple[str, list[
     return _restore(text, describer, depth)
 
 
+_MARKS: dict[str, int] = {}  # words that a pattern matches: 1 UNUSUAL, 2 SUSPECT
+_PLAIN: set[str] = set()  # words that none does
+
+
 def suspicious(text: str) -> bool:
-    """Whether something in the text may be garbled, UTF-7 apart. What is certainly garbled (CERTAIN) is suspicious."""
-    return not text.isascii() and bool(UNUSUAL.search(text)) and bool(SUSPECT.search(text))
+    """Whether something in the text may be garbled, UTF-7 apart. What is certainly garbled (CERTAIN) is suspicious.
+
+    No match of either pattern holds or needs a space, so each word is searched once and then remembered.
+    """
+    if text.isascii():
+        return False
+    marks = 0
+    for w in set(text.split(" ")).difference(_PLAIN):
+        found = _MARKS.get(w)
+        if found is None:
+            found = 0 if w.isascii() else bool(UNUSUAL.search(w)) | bool(SUSPECT.search(w)) << 1
+            if len(w) <= WORD_CHARS:
+                if len(_PLAIN) + len(_MARKS) >= HELD:
+                    _PLAIN.clear()
+                    _MARKS.clear()
+                if found:
+                    _MARKS[w] = found
+                else:
+                    _PLAIN.add(w)
+        marks |= found
+        if marks == 3:
+            return True
+    return False
 
 
 def _restore(text: str, describer: Describer, depth: int = 3) -> tuple[str, list[str]]:
@@ -292,6 +325,14 @@ def few_rows(df: DataFrame, most: int) -> list:
     return rows
 
 
+def few_words(common_words: DataFrame) -> dict[str, list[str]]:
+    """The frequent words of each language."""
+    common: dict[str, list[str]] = {}
+    for r in few_rows(common_words.where("lang is not null and word is not null"), MAX_WORDS):
+        common.setdefault(r["lang"], []).append(r["word"])
+    return common
+
+
 def clean_sample(table: DataFrame, text_col: str, common_words: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
     """Sentences of at most ``sample`` unsuspicious passages by language, for training.
 
@@ -316,15 +357,101 @@ def clean_sample(table: DataFrame, text_col: str, common_words: DataFrame, sampl
     return out
 
 
+class Counts:
+    """How often each unit stands in texts of each language: up to UNIT_WORDS words, of which all but the last are frequent ones.
+
+    The units of a text follow one another and make up the whole of it. A text's language is that with most of its frequent words in it; a text with
+    less than a tenth of such words has none and is not counted.
+    """
+
+    def __init__(self, common: dict[str, list[str]]) -> None:
+        self.names = sorted(common)
+        self.langs: dict[str, tuple[str, ...]] = {}
+        for k in self.names:
+            for w in sorted({form for w in common[k] for form in (w, w.lower(), w.capitalize(), w.upper())}):
+                self.langs[w] = (*self.langs.get(w, ()), k)
+        self.counts: dict[str, Counter[str]] = {}
+
+    def add(self, text: str) -> bool:
+        """Count a text and return True; False, and nothing is counted, if something in it may be garbled."""
+        if suspicious(text) or "+" in text and UTF7.search(text):
+            return False
+        words = text.split()
+        if not words:
+            return True
+        langs = list(map(self.langs.get, words))
+        score = dict.fromkeys(self.names, 0)
+        for ks, n in Counter(langs).items():
+            for k in ks or ():
+                score[k] += n
+        lang = max(score, key=score.get) if score else "any"
+        if not score or score[lang] * 10 >= len(words):
+            self.counts.setdefault(lang, Counter()).update(self.units(words, langs))
+        return True
+
+    def units(self, words: list[str], langs: list[tuple[str, ...] | None]) -> list[str]:
+        """The words, of which frequent ones have languages, joined into units."""
+        ends = [i for i, k in enumerate(langs, 1) if k is None]
+        if not ends or ends[-1] < len(words):  # frequent words end the text
+            ends.append(len(words))
+        out, at = [], 0
+        for end in ends:
+            while end - at > UNIT_WORDS:
+                out.append(" ".join(words[at : at + UNIT_WORDS]))
+                at += UNIT_WORDS
+            out.append(" ".join(words[at:end]) if end - at > 1 else words[at])
+            at = end
+        return out
+
+    def take(self, least: int = 0) -> list[tuple[str, str, int]]:
+        """``(language, unit, count)`` of what was counted since the last call, once it is more than ``least`` units; words beyond WORD_CHARS in pieces."""
+        if sum(map(len, self.counts.values())) <= least:
+            return []
+        out = [(k, u, n) for k, c in self.counts.items() for u, n in c.items()]
+        self.counts = {}
+        if any(len(u) > WORD_CHARS for _, u, _ in out):
+            out = [(k, u[i : i + WORD_CHARS], n) for k, u, n in out for i in range(0, len(u), WORD_CHARS)]
+        return out
+
+
+def describer(counts: DataFrame, langs: list[str]) -> Describer:
+    """Dictionaries of the units ``(lang, unit, n)`` that were counted over all texts, parts of counts included.
+
+    All counts are added up; of each language the DICT_UNITS units that hold most of its text come to the driver.
+    """
+    totals = cut(counts.groupBy("lang", "unit").agg(F.sum("n").alias("n")))
+    held = (F.col("n") * (F.octet_length("unit") + 1)).desc()
+    best = [totals.where(F.col("lang") == k).orderBy(held, "unit").limit(DICT_UNITS) for k in langs or ["any"]]
+    units: dict[str, list[tuple[str, int]]] = {}
+    for r in cut(reduce(DataFrame.unionByName, best)).collect():
+        units.setdefault(r["lang"], []).append((r["unit"], r["n"]))
+    dictionaries = {k: _dictionary([x.encode("utf-8") for x in spelled(v)]) for k, v in sorted(units.items())}
+    return Describer({k: v for k, v in dictionaries.items() if v})
+
+
+def spelled(units: list[tuple[str, int]]) -> list[str]:
+    """Lines of 12 units in which each unit stands in proportion to its count, evenly mixed."""
+    share = min(1.0, SPELLED / max(1, sum(n for _, n in units)))
+    at = []
+    for u, n in units:
+        times = max(1, round(n * share))
+        at += [((j + 0.5) / times, u) for j in range(times)]
+    mixed = [u for _, u in sorted(at)]
+    step = len(mixed) // 12 + 1
+    return [" ".join(mixed[i::step]) for i in range(min(step, len(mixed)))]
+
+
+def _dictionary(data: list[bytes]) -> bytes:
+    """A trained dictionary; too few texts are one themselves."""
+    try:
+        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, data)) // 8)), data).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(data)[:DICT_BYTES]
+
+
 def train(sentences: dict[str, list[str]]) -> Describer:
     """A dictionary per language; languages with too few sentences get their text itself as one."""
-    dictionaries = {}
-    for lang, texts in sorted(sentences.items()):
-        data = [t.encode("utf-8") for t in sorted(set(texts))]
-        try:
-            dictionaries[lang] = zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, data)) // 8)), data).as_bytes()
-        except zstandard.ZstdError:
-            dictionaries[lang] = b" ".join(data)[:DICT_BYTES]
+    dictionaries = {lang: _dictionary([t.encode("utf-8") for t in sorted(set(texts))]) for lang, texts in sorted(sentences.items())}
     return Describer({k: v for k, v in dictionaries.items() if v})
 
 

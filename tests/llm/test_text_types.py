@@ -90,3 +90,13 @@ def test_published_accuracies(spark, words):
     got = tt.accuracies(df, spark.createDataFrame([], "doc_id bigint, length bigint, written_at int"), words).collect()
     assert len(got) == 4 * K and all(abs(r["against"] + r["neither"] + r["for"] - 1) < 1e-9 for r in got)
     assert {r["type"]: r["share"] for r in got}["prose"] > 0.6
+
+
+def test_dictionaries_come_from_all_texts(spark, words):
+    """A wording that stands in short texts alone tells how a garbled text reads, whatever the partitions."""
+    clean = [(i, f"the lamp, it’s old {w}") for i, w in enumerate(["red", "big", "new"] * 40)]
+    df = spark.createDataFrame([*clean, (900, "the lamp, itÕs old red")], "doc_id bigint, passage_text string")
+    more = words.union(spark.createDataFrame([("en", "it’s")], "lang string, word string"))
+    for parts in (1, 3):
+        got = {r["doc_id"]: r["common_words"] for r in tt.text_statistics(df.repartition(parts), more).collect()}
+        assert len(got) == 121 and got[0] == got[900] == 2 / 5
