@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.storage import cut
 
-SAMPLE = 6000  # passages that dictionaries are trained on, at most
 DICT_BYTES = 32 << 10
 UNIT_WORDS, WORD_CHARS = 4, 64  # of a unit that is counted; longer runs make several units
 DICT_UNITS = DICT_BYTES  # units that a dictionary is made of: a byte each, more than it holds
@@ -333,30 +332,6 @@ def few_words(common_words: DataFrame) -> dict[str, list[str]]:
     return common
 
 
-def clean_sample(table: DataFrame, text_col: str, common_words: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """Sentences of at most ``sample`` unsuspicious passages by language, for training.
-
-    The passages are those with the smallest hash among those of 40 to 4,000 characters, which bounds what comes to the driver; a passage's language is that with most of its frequent words in it.
-    """
-    words: dict[str, set[str]] = {}
-    for r in few_rows(common_words.where("lang is not null and word is not null"), MAX_WORDS):
-        words.setdefault(r["lang"], set()).add(r["word"])
-    # only about twice the sample leaves the workers, however many tasks there are
-    share = min(1.0, 2.0 * sample / max(1, table.count()))
-    hashed = table.select(F.col(text_col).cast("string").alias("t")).where("length(t) between 40 and 4000").select("t", F.xxhash64("t").alias("h"))
-    rows = hashed.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("h").limit(sample).collect()
-    out: dict[str, list[str]] = {}
-    for t in {r["t"] for r in rows}:
-        if SUSPECT.search(t) or UTF7.search(t):
-            continue
-        tokens = re.findall(r"[^\W\d_]+", t.lower())
-        score = {lang: sum(w in ws for w in tokens) for lang, ws in words.items()}
-        lang = max(sorted(score), key=lambda k: score[k]) if score else "any"
-        if not score or score[lang] >= 0.1 * len(tokens):
-            out.setdefault(lang, []).extend(s for s in re.split(r"(?<=[.!?])\s+|\n+", t) if s)
-    return out
-
-
 class Counts:
     """How often each unit stands in texts of each language: up to UNIT_WORDS words, of which all but the last are frequent ones.
 
@@ -455,29 +430,46 @@ def train(sentences: dict[str, list[str]]) -> Describer:
     return Describer({k: v for k, v in dictionaries.items() if v})
 
 
-def restored(table: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "passage_text", sample: int = SAMPLE) -> DataFrame:
+def restored(table: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "passage_text") -> DataFrame:
     """``(id, restored, chains, complete)``, a row for each text that is garbled somewhere.
 
     restored is the text with every sentence put right that could be, chains the decodings undone, in order and joined by ", ".
     complete is false if replacement characters are left, whose originals are lost, or stretches that are certainly garbled but that no chain restores. Null and empty texts, and texts that are right as they stand,
-    give no row; repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
+    give no row; repeated rows give repeated rows; other columns are ignored; an empty table gives no rows. One pass counts the units of all texts that
+    nothing in is garbled and sets the others aside, which wait for the dictionaries.
     """
-    describer = train(clean_sample(table, text_col, common_words, sample))
-    shared = table.sparkSession.sparkContext.broadcast(describer)  # dictionaries of DICT_BYTES for each language
+    given = few_words(common_words)
+    sc = table.sparkSession.sparkContext
+    words = sc.broadcast(given)
+    fields = [("id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("unit", pa.string()), ("n", pa.int64())]
+
+    def batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])
+
+    def first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(words.value)
+        for b in it:
+            rows: list[tuple] = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if t and (not counts.add(t) or "+" in t):
+                    rows.append((i, t, None, None, None))
+            yield batch([*rows, *((None, None, *x) for x in counts.take(HELD))], fields)
+        yield batch([(None, None, *x) for x in counts.take()], fields)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = shared.value
+        d = learned.value
         for b in it:
             rows: list[tuple] = []
-            for i, t in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                if not t or not ("+" in t or suspicious(t)):
-                    continue
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out, used = _restore(t, d)
                 lost = "�" in out or bool(UNUSUAL.search(out) and CERTAIN.search(out))
                 if used or lost:
-                    rows.append((i.as_py(), out, ", ".join(dict.fromkeys(used)), not lost))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=["id", "restored", "chains", "complete"])
+                    rows.append((i, out, ", ".join(dict.fromkeys(used)), not lost))
+            yield batch(rows, [("id", pa.int64()), ("restored", pa.string()), ("chains", pa.string()), ("complete", pa.bool_())])
 
     picked = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id bigint, restored string, chains string, complete boolean")
+    seen = cut(picked.mapInArrow(first, "id bigint, text string, lang string, unit string, n bigint"))
+    learned = sc.broadcast(describer(seen.where("unit is not null").select("lang", "unit", "n"), sorted(given)))  # dictionaries of DICT_BYTES for each language
+    aside = seen.where("text is not null").select("id", "text").repartition(sc.defaultParallelism)
+    return aside.mapInArrow(run, "id bigint, restored string, chains string, complete boolean")

@@ -115,3 +115,21 @@ def test_certain_stretches_are_reported_unrestored(spark):
     df = spark.createDataFrame([(1, text), (2, CLEAN["ru"][0]), (3, "Größe und Maß, «été», ¿qué?")], "doc_id bigint, passage_text string")
     words = spark.createDataFrame([("en", "the")], "lang string, word string")
     assert rows(enc.restored(df, words)) == [(1, text, "", False)]
+
+
+def test_dictionaries_come_from_all_texts(spark):
+    """Every text is counted, and a wording that stands in short texts alone tells how a garbled text reads, whatever the partitions."""
+    clean = [(i, f"the lamp, it’s old {w}") for i, w in enumerate(["red", "big", "new"] * 40)]
+    df = spark.createDataFrame([*clean, (900, "the lamp, itÕs old red")], "doc_id bigint, passage_text string")
+    words = spark.createDataFrame([("en", "the"), ("en", "it’s")], "lang string, word string")
+    for parts in (1, 3):
+        assert rows(enc.restored(df.repartition(parts), words)) == [(900, "the lamp, it’s old red", "mac_roman<cp1252", True)]
+
+
+def test_counts_are_whole():
+    counts = enc.Counts({"en": ["the", "of"], "de": ["der"]})
+    texts = ["The lamp of the house", "the of the of the of", "der Turm", "x" * 150 + " the", "the cafÃ© of it", "no frequent word in here at all, none in a dozen words", "", " "]
+    assert [counts.add(t) for t in texts] == [True] * 4 + [False] + [True] * 3
+    got = sorted(counts.take())
+    assert got == sorted([("en", "The lamp", 1), ("en", "of the house", 1), ("en", "the of the of", 1), ("en", "the of", 1), ("de", "der Turm", 1), ("en", "x" * 64, 1), ("en", "x" * 64, 1), ("en", "x" * 22, 1), ("en", "the", 1)])
+    assert counts.take() == []
