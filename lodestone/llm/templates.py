@@ -27,7 +27,7 @@ from lodestone.operators.storage import cut
 
 FILLER, SHORT = 1, 2
 SHORT_WORDS = 6  # of a sentence that may be furniture
-SLOT_WORDS = 24  # of a sentence in which a slot is looked for
+SLOT_ROWS = 100_000  # words left out that leave a task at a time, those of one sentence apart
 TEMPLATE_SENTENCES = 12  # different ones of a page that is a template; more are an article that several sites carry
 
 # Delimiters of template languages. "sure" forms have no other use in running text.
@@ -151,12 +151,17 @@ def units(text: str, known: re.Pattern | None = None) -> list[tuple[str, int]]:
     return [(x, m) for x, m in out if m & FILLER or WORD.search(x)]  # what is all slots tells nothing
 
 
-def with_slot(skeleton_: str) -> list[tuple[str, str]]:
-    """``(skeleton with one word left out, that word)`` for each word of a sentence of at most SLOT_WORDS words: what a slot can be."""
+def with_slot(skeleton_: str) -> list[tuple[int, int]]:
+    """``(hash of the skeleton with one word left out, hash of that word)`` for each word of a sentence, however long: what a slot can be.
+
+    A skeleton's hash is the sum of its words' hashes, seeded with their places, so that a word is exchanged without a look at the others.
+    """
     words = skeleton_.split()
-    if not 2 <= len(words) <= SLOT_WORDS:
+    if len(words) < 2:
         return []
-    return [(" ".join([*words[:i], WORD.sub("_", w), *words[i + 1 :]]), w) for i, w in enumerate(words) if WORD.search(w)]
+    parts = [_digest(w, i) for i, w in enumerate(words)]
+    whole = sum(parts)
+    return [(((whole - parts[i] + _digest(WORD.sub("_", w), i)) & MASK) - (1 << 63), _hash(w)) for i, w in enumerate(words) if WORD.search(w)]
 
 
 def _paged(docs: DataFrame, id_col: str, text_col: str, site_col: str | None) -> DataFrame:
@@ -196,8 +201,15 @@ def evidence(paged: DataFrame, known: str | None = None) -> DataFrame:
     return paged.mapInArrow(run, "id bigint, page bigint, u bigint, marks int, n int, shape string, name string, frame string")
 
 
+MASK = (1 << 64) - 1
+
+
+def _digest(x: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed)
+
+
 def _hash(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return _digest(x) - (1 << 63)
 
 
 def slot_evidence(paged: DataFrame) -> DataFrame:
@@ -206,7 +218,14 @@ def slot_evidence(paged: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = [(page, _hash(x), _hash(v), _hash(w)) for text, page in zip(batch.column(1), batch.column(2).to_pylist(), strict=True) for x in dict(units(text.as_py())) for v, w in with_slot(x)]
+            rows: list[tuple] = []
+            for text, page in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                for x in dict(units(text.as_py())):
+                    u = _hash(x)
+                    rows += [(page, u, v, w) for v, w in with_slot(x)]
+                    if len(rows) >= SLOT_ROWS:
+                        yield _rows(rows, kinds)
+                        rows = []
             yield _rows(rows, kinds)
 
     return paged.mapInArrow(run, "page bigint, u bigint, v bigint, w bigint")

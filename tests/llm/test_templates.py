@@ -109,3 +109,15 @@ def test_special_cases(spark):
     kept = t.without_residue(df, site_col="site")
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, 2, None}
     assert t.template_residue(df.where("false")).count() == 0
+
+
+def test_slots_in_sentences_of_any_length(spark):
+    """A word that differs is a slot also in a long sentence; one word left out, two sentences agree in that place alone."""
+    start, end = " ".join(f"start{c}" for c in "abcdefghijklmnop"), " ".join(f"end{c}" for c in "abcdefghijklmnop")
+    a, b = ({v for v, _ in t.with_slot(f"{start} {w} {end}")} for w in ("lamp", "pump"))
+    assert len(a) == len(b) == 33 and len(a & b) == 1
+    assert not a & {v for v, _ in t.with_slot(f"{end} lamp {start}")}
+    assert len(t.with_slot(" ".join(f"lamp{i}" for i in range(100_000)))) == 100_000
+    bad = [f"{start} {w} {end}\nBitte kommen Sie wieder" for w in ("lamp", "pump", "valve", "river", "stone", "cloud", "house", "door")]
+    good = prose(random.Random(4), 20)
+    assert found(frame(spark, [*bad, *good])) == dict.fromkeys(range(8), "page")
