@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.storage import cut
+from lodestone.operators.storage import cut, dealt
 
 DICT_BYTES = 32 << 10
 UNIT_WORDS, WORD_CHARS = 4, 64  # of a unit that is counted; longer runs make several units
@@ -341,10 +341,9 @@ class Counts:
 
     def __init__(self, common: dict[str, list[str]]) -> None:
         self.names = sorted(common)
-        self.langs: dict[str, tuple[str, ...]] = {}
-        for k in self.names:
-            for w in sorted({form for w in common[k] for form in (w, w.lower(), w.capitalize(), w.upper())}):
-                self.langs[w] = (*self.langs.get(w, ()), k)
+        forms = {k: {form for w in common[k] for form in (w, w.lower(), w.capitalize(), w.upper())} for k in self.names}
+        # the languages of a word as a string, which is faster to count than a tuple
+        self.langs = {w: " ".join(str(i) for i, k in enumerate(self.names) if w in forms[k]) for w in set().union(*forms.values())}
         self.counts: dict[str, Counter[str]] = {}
 
     def add(self, text: str) -> bool:
@@ -357,14 +356,14 @@ class Counts:
         langs = list(map(self.langs.get, words))
         score = dict.fromkeys(self.names, 0)
         for ks, n in Counter(langs).items():
-            for k in ks or ():
-                score[k] += n
+            for k in ks.split() if ks else ():
+                score[self.names[int(k)]] += n
         lang = max(score, key=score.get) if score else "any"
         if not score or score[lang] * 10 >= len(words):
             self.counts.setdefault(lang, Counter()).update(self.units(words, langs))
         return True
 
-    def units(self, words: list[str], langs: list[tuple[str, ...] | None]) -> list[str]:
+    def units(self, words: list[str], langs: list[str | None]) -> list[str]:
         """The words, of which frequent ones have languages, joined into units."""
         ends = [i for i, k in enumerate(langs, 1) if k is None]
         if not ends or ends[-1] < len(words):  # frequent words end the text
@@ -471,5 +470,5 @@ def restored(table: DataFrame, common_words: DataFrame, id_col: str = "doc_id",
     picked = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = cut(picked.mapInArrow(first, "id bigint, text string, lang string, unit string, n bigint"))
     learned = sc.broadcast(describer(seen.where("unit is not null").select("lang", "unit", "n"), sorted(given)))  # dictionaries of DICT_BYTES for each language
-    aside = seen.where("text is not null").select("id", "text").repartition(sc.defaultParallelism)
+    aside = dealt(seen.where("text is not null").select("id", "text"))
     return aside.mapInArrow(run, "id bigint, restored string, chains string, complete boolean")

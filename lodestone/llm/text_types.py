@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import encodings
-from lodestone.operators.storage import cut
+from lodestone.operators.storage import cut, dealt
 from lodestone.sources.collection import latest
 
 TYPES = ("prose", "list", "table", "junk")
@@ -70,6 +70,13 @@ def segmented(line: str) -> list[str]:
     return [*out, line[at:]]
 
 
+def in_cells(line: str) -> bool:
+    """Whether CELL is found twice or more; in a line with no other space than single ones each takes a sign that is counted first."""
+    if line.count(",") + line.count(";") + line.count("|") - line.count(", ") - line.count("; ") < 2 and " ".join(line.split()) == line:
+        return False
+    return len(CELL.findall(line)) >= 2
+
+
 class Measurer:
     """Statistics and votes of a text under lists of common words by language."""
 
@@ -120,7 +127,7 @@ class Measurer:
         ended_lines = sum(bool(END.search(x[-12:])) for x in lines)
         per_line = n / max(1, len(lines))
         symbols = 1 - letters / solid
-        celled = sum(1 for x in lines if len(CELL.findall(x)) >= 2) / max(1, len(lines))
+        celled = sum(map(in_cells, lines)) / max(1, len(lines))
         top = max(starts.values(), default=0) / max(1, segments)
         distinct = len(set(words)) / max(1, n)
         votes = [
@@ -199,7 +206,7 @@ def text_statistics(table: DataFrame, common_words: DataFrame, id_col: str = "do
     picked = table.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = cut(picked.mapInArrow(first, f"{MEASURED}, text string, unit string, n bigint"))
     learned = sc.broadcast(encodings.describer(seen.where("unit is not null").select("lang", "unit", "n"), sorted(given)))
-    waiting = seen.where("text is not null").select("doc_id", "text").repartition(sc.defaultParallelism)
+    waiting = dealt(seen.where("text is not null").select("doc_id", "text"))
     return seen.where("pattern is not null and text is null").select(*names).unionByName(waiting.mapInArrow(again, MEASURED))
 
 

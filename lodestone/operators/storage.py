@@ -29,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return back
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it comes in fewer splits."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and nothing needs any longer: not their readers, nor what is still to be computed from them."""
     for df in tables:
