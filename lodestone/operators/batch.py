@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 DOCS, TOKENS = 1 << 15, 1 << 23  # documents and entries that are scored at once
 BLOCK, CELLS = 256, 1 << 24  # queries that are scored at once, and cells of a table of queries by terms
-DENSE_SHARE, MOST_DENSE = 0.011, 512  # a term in so many pairs of query and document costs less in a product of matrices than in lists
+DENSE_SHARE, MOST_DENSE = 0.008, 512  # a term in so many pairs of query and document costs less in a product of matrices than in lists
 LONG = 1000  # terms of a query from which single precision is too coarse
 
 
@@ -53,21 +53,34 @@ class Queries:
         return len(self.ptr) - 1
 
 
+def split(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The parts of ``values`` between the places ``at`` as an array of arrays."""
+    out = np.empty(len(at) + 1, object)
+    first = 0
+    for i, last in enumerate([*at.tolist(), len(values)]):
+        out[i], first = values[first:last], last
+    return out
+
+
 class Chunk:
     """Documents as entries sorted by (document, term), with their exact weights, and as lists by term."""
 
     def __init__(self, q: Queries, ids: np.ndarray, length: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> None:
         v = max(1, len(q.voc))
         key = row * v + term
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        tf = np.add.reduceat(tf[order], first).astype(float) if len(key) else np.zeros(0)
+        if (tf == 1).all():
+            key.sort()
+            tf = None
+        else:
+            order = np.argsort(key)
+            key, tf = key[order], tf[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        tf = (np.diff(np.r_[first, len(key)]) if tf is None else np.add.reduceat(tf, first)).astype(float)
         self.ids, self.n = ids, len(ids)
         self.row, self.term = key[first] // v, key[first] % v
         self.w = q.idf[self.term] * ((tf * (q.k1 + 1.0)) / (tf + q.k1 * ((1.0 - q.b) + q.b * length[self.row] / q.avgdl)))
         self.ptr = np.searchsorted(self.row, np.arange(self.n + 1))
-        by_term = np.argsort(self.term, kind="stable")
+        by_term = np.argsort(self.term * max(1, self.n) + self.row)
         self.list_row, self.list_w = self.row[by_term], self.w[by_term]
         self.list_ptr = np.r_[0, np.cumsum(np.bincount(self.term, minlength=v))]
         self.most = np.zeros(v)  # the largest weight of each term here, whatever its sign
@@ -143,9 +156,10 @@ def score_chunk(q: Queries, c: Chunk, best: Best) -> None:
     dense = np.zeros((n_dense, groups * wide), kind)
     at = q.slot[c.term]
     dense[at[at >= 0], c.row[at >= 0]] = c.w[at >= 0]
-    weight = c.list_w.astype(kind)
-    start, end = c.list_ptr[:-1], c.list_ptr[1:]
-    listed = (q.slot < 0) & (end > start)
+    listed = (q.slot < 0) & (np.diff(c.list_ptr) > 0)
+    weight, at = c.list_w.astype(kind), c.list_ptr[1:-1]
+    lists = np.empty((2, len(q.voc)), object)  # documents and weights of each term
+    lists[0], lists[1] = split(c.list_row, at), split(weight, at)
     block = max(1, min(BLOCK, CELLS // max(1, len(q.voc))))
     has, acc = np.zeros((block, len(q.voc)), bool), np.zeros((block, groups * wide), kind)
     for first in range(0, len(q), block):
@@ -158,14 +172,12 @@ def score_chunk(q: Queries, c: Chunk, best: Best) -> None:
         in_table = q.slot[terms] >= 0
         table[owner[in_table], q.slot[terms[in_table]]] = 1
         scores = np.matmul(table, dense, out=acc[:n])
-        lists = listed[terms]
-        a, z = start[terms[lists]].tolist(), end[terms[lists]].tolist()
-        ends = np.cumsum(np.bincount(owner[lists], minlength=n)).tolist()
+        in_list = listed[terms]
+        docs, weights = lists[:, terms[in_list]].tolist()
         s = 0
-        for i, e in enumerate(ends):
+        for i, e in enumerate(np.cumsum(np.bincount(owner[in_list], minlength=n)).tolist()):
             if e > s:
-                pieces = [slice(*x) for x in zip(a[s:e], z[s:e], strict=True)]
-                np.add.at(scores[i], np.concatenate([c.list_row[x] for x in pieces]), np.concatenate([weight[x] for x in pieces]))
+                np.add.at(scores[i], np.concatenate(docs[s:e]), np.concatenate(weights[s:e]))
             s = e
         error = np.bincount(owner, weights=c.most[terms], minlength=n) * (np.bincount(owner, minlength=n) + 4) * np.finfo(kind).eps
         cells = scores.reshape(n, groups, wide)
